@@ -1,0 +1,441 @@
+"""Each operator against a plain version of itself, and on the defined edge cases."""
+
+import base64
+import hashlib
+import io
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quire.llm import bpe, components, langid, media, packing, pii, queries, secrets, simhash, substring_dedup, token_prefix, topk
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, __text string, fp string, spans string, h string"
+RNG = random.Random(3)
+LONG = " ".join(RNG.choice(["lorem", "ipsum", "dolor", "a1", "x@y.zz", "+1 (212) 555-0100"]) for _ in range(20_000)) + "a" * 30_000
+TEXTS = [None, "", " \n\t", "one", "Hello hello", "x" * 300, "zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich. " * 4, LONG, "same text here", "same text here", "digits 12345 only 6.7.8.9", "<|endoftext|> it's", "4111 1111 1111 1111 a.b@c.de +1 (269) 555-3296 1.2.3.4 again 555-3296"]
+
+
+def rows(texts=TEXTS):
+    return [(i if i != 4 else None, t, RNG.choice(["en", "de", None]), None, None, "7", "clash", "clash", "clash", "clash") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+OPERATORS = {
+    "media": media.media_digest,
+    "packing": packing.pack_documents,
+    "pii": pii.find_pii,
+    "redact": pii.redact,
+    "language": lambda d: langid.predict(d, langid.fit(d)),
+    "bpe": lambda d: bpe.encode_digest(d, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+    "bpe_column": lambda d: bpe.encode_column(d, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+    "tokens": lambda d: token_prefix.count_tokens(d, public_tokenizers.path("word_bpe_49k.json"), 16),
+    "prefixes": lambda d: token_prefix.prefix_counts(d, public_tokenizers.path("word_bpe_49k.json")),
+    "simhash": simhash.near_duplicates,
+    "secrets": secrets.find_secrets,
+    "substrings": substring_dedup.dedup_digest,
+    "remove_repeats": substring_dedup.remove_repeats,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_edge_rows(docs, name):
+    got = OPERATORS[name](docs).collect()
+    if name != "packing":
+        assert len(got) == len(TEXTS)
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in docs.collect()}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(none, name):
+    assert OPERATORS[name](none).collect() == []
+
+
+def test_repeated_rows_agree(docs):
+    twice = docs.unionByName(docs)
+    for name in ("bpe", "pii", "substrings", "simhash", "media"):
+        got = OPERATORS[name](twice).collect()
+        assert len(got) == 2 * len(TEXTS)
+        assert len(set(map(tuple, got))) <= len(TEXTS)
+
+
+def by_id(df, *cols):
+    return {r["doc_id"]: tuple(r[c] for c in cols) for r in df.collect()}
+
+
+def test_media_round_trip(docs):
+    got = by_id(media.media_digest(docs), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes")
+    for i, t in enumerate(TEXTS):
+        if i == 4:
+            continue
+        raw = (t or "").encode()
+        full = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
+        assert got[i] == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), len(full) + 44)
+
+
+def _png():
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+def test_sniff_formats(spark):
+    import gzip
+    import zipfile
+
+    png = _png()
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a", "b")
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\2\2\x44\1\0;"
+    bmp = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 58, 0, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + bytes(4)
+    whole = {"image/png": png, "application/zip": z.getvalue(), "application/gzip": gzip.compress(b"hello" * 99), "image/gif": gif, "image/bmp": bmp, "audio/wav": media.to_wav(bytes(64)), "image/x-portable-graymap": b"P5\n2 2\n255\nabcd", "application/pdf": b"%PDF-1.4\nstartxref\n0\n%%EOF"}
+    for kind, data in whole.items():
+        assert media.sniff(data) == (kind, []), kind
+        assert media.sniff(b"junk" + data + b"tail") == (None, [(kind, 4, len(data))]), kind
+        if kind != "application/pdf":
+            assert media.sniff(data[: len(data) // 2])[0] is None, kind
+    table = spark.createDataFrame([(1, "image/jpeg", png + b"xx" + gif), (2, "text/plain", b"BM not a bitmap"), (3, None, None)], "id int, declared string, data binary")
+    got = {r["id"]: r for r in media.sniff_column(table, id_col="id", data_col="data", declared_col="declared").collect()}
+    assert got[1]["media_type"] == "image/png" and got[1]["corrected"] and [(e["media_type"], e["start"]) for e in got[1]["embedded"]] == [("image/gif", len(png) + 2)]
+    assert got[2]["media_type"] == "text/plain" and not got[2]["corrected"] and got[3]["media_type"] is None
+
+
+def test_pack_is_a_partition_and_tight():
+    rng = random.Random(1)
+    for _ in range(60):
+        lengths = [rng.randint(0, 64) for _ in range(rng.randint(0, 80))]
+        bins, caps = packing.pack(lengths, (16, 32, 64))
+        used = [0] * len(caps)
+        for n, b in zip(lengths, bins):
+            used[b] += n
+        assert all(u <= c for u, c in zip(used, caps))
+        assert all(c == min(x for x in (16, 32, 64) if x >= u) for u, c in zip(used, caps))
+
+
+def test_pack_best_fit_matches_scan():
+    rng = random.Random(2)
+    for _ in range(40):
+        lengths = [rng.randint(1, 40) for _ in range(50)]
+        caps, cost = (20, 40), packing.sequence_cost
+        room, got, left = [], [0] * 50, sum(lengths)
+        for i in sorted(range(50), key=lambda i: -lengths[i]):
+            n = lengths[i]
+            fit = [(r, b) for b, r in enumerate(room) if r >= n and r > 0]
+            if fit:
+                b = min(fit)[1]
+            else:
+                b = len(room)
+                room.append(min((c for c in caps if c >= n), key=lambda c: (cost(c) / min(c, left), c)))
+            room[b] -= n
+            got[i] = b
+            left -= n
+        assert packing.pack(lengths, caps)[0] == got
+
+
+def test_pack_documents_keeps_every_byte(docs):
+    got = packing.pack_documents(docs, capacities=(64, 256)).collect()
+    want = {(None if i == 4 else i): len((t or "").encode()) + 1 for i, t in enumerate(TEXTS)}
+    total = {}
+    for r in got:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["piece_length"]
+    assert total == want
+    used = {}
+    for r in got:
+        used.setdefault(r["bin_id"], []).append((r["bin_offset"], r["piece_length"], r["bin_capacity"]))
+    for parts in used.values():
+        at = 0
+        for offset, n, cap in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= cap
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_pii(t):
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in CARD.finditer(t):
+        d = re.sub("[^0-9]", "", m.group())
+        if 14 <= len(d) <= 19 and pii.luhn(d):
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(t) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return sorted(out)
+
+
+def test_pii_base_spans():
+    rng = random.Random(5)
+    bits = ["4111111111111111", "+1 (", ") 555-1234", "1.2.3.4", ".", "@", "x", ".com", " ", "-", "255", "0", "é"]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        assert pii.base_spans(t) == plain_pii(t), t
+
+
+def test_pii_skip_edges_carry_labels():
+    field = pii.trained()
+    text = "call +1 (269) 555-3296 now or later 555-3296 please"
+    (base, added), (_, alone) = field.spans([text, "or later 555-3296 please"])
+    assert [text[a:b] for a, _, b in base] == ["+1 (269) 555-3296"]
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in added] == [("phone", "555-3296")]
+    graph = pii.Graph()
+    graph.add(0, text)
+    p = field.marginals(graph, np.array([4, 4, 4, -1]))
+    q = field.marginals(graph, np.array([-1, -1, -1, -1]))
+    assert p[3, 4] > q[3, 4] or p[3, 4] > 0.99
+    assert field.spans(["nothing here at all"])[0] == ([], [])
+
+
+def test_pii_loopy_messages_are_exact_on_a_chain():
+    field, graph = pii.trained(), pii.Graph()
+    graph.add(0, "1.2 33 a@b")
+    p = field.marginals(graph, np.array([-1, -1, -1]))
+    k = len(pii.LABELS)
+    rows_, cols = field._active(graph)
+    u = np.zeros((3, k))
+    np.add.at(u, rows_, field.unary[cols])
+    joint = u[0][:, None, None] + u[1][None, :, None] + u[2][None, None, :] + field.pair[0][:, :, None] + field.pair[0][None]
+    joint = np.exp(joint - joint.max())
+    joint /= joint.sum()
+    exact = np.stack((joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))))
+    assert np.abs(p - exact).max() < 0.02
+
+
+def test_redact(docs):
+    got = by_id(pii.redact(docs), "text", "fp")
+    # the phone pattern reaches over the address; the union is replaced once
+    assert got[12] == ("[CARD] [EMAIL] [PHONE] again [PHONE]", "clash")
+    assert got[8][0] == "same text here" and got[0][0] is None
+
+
+def test_language_held_out_accuracy(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = queries.op4_language(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.97
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+
+
+def test_language_undetermined_and_families(spark):
+    m = langid.LanguageModel(["der die das und nicht ist"] * 3 + ["the of and with that is"] * 3 + ["le la les que dans pour"] * 3 + ["xq zq vq kq"] * 3, ["de"] * 3 + ["en"] * 3 + ["fr"] * 3 + ["tlh"] * 3)
+    table = langid._code_table()
+    assert [p[0] for p in m.predict(["und die ist der", "and that is the", "dans les que", "kq vq zq", None, "12 !?", ""], table)] == ["de", "en", "fr", "tlh", "und", "und", "und"]
+    assert langid.LanguageModel([], []).predict(["abc"], table) == [("und", 0.0)]
+
+
+def test_bpe_equals_library():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = bpe.ByteBPE(path, public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    texts = [t for t in TEXTS if t is not None] + ["".join(rng.choice("abcdeé的 '\n12👍") for _ in range(rng.randint(0, 400))) for _ in range(200)] + ["ab" * 3000, " " * 5000, "的" * 900]
+    ids = own.encode(texts)
+    assert [np.frombuffer(i, "<u4").tolist() for i in ids] == [library.encode_ordinary(t) for t in texts]
+    assert [own.decode(i) for i in ids] == [t.encode() for t in texts]
+
+
+def test_prefix_counts_equal_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    own = token_prefix.counter(path)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(6)
+    texts = ["", "it's we'll 're'x ''s don't!!<|endoftext|>abc <|startoftext|><|endoftext|>x", "ΑΣ Σ ﬁ é é", "\x1cab\x85c\x00d"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "!!", "'s", "ab", "th", " ", "<|end", "é", "9"]) for _ in range(9)) for _ in range(60)]
+    for t in texts:
+        d, n = own.deltas(t), own.normalise(t)
+        assert len(d) == len(n)
+        for k in range(len(n) + 1):
+            assert token_prefix.count_at(d, k) == count(n[:k]), (t, k)
+        for budget in (0, 3, 10**6):
+            assert token_prefix.longest_within(d, budget) == max(k for k in range(len(n) + 1) if count(n[:k]) <= budget)
+
+
+def plain_print(text, words=3):
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    hs = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def plain_classes(prints):
+    ids = list(prints)
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+def test_simhash_equals_brute_force(spark):
+    got = {r["doc_id"]: r for r in queries.op7_simhash(spark, "/root/testdata/sf0.001").collect()}
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    prints = {r["doc_id"]: plain_print(r["text"]) for r in d}
+    classes = plain_classes(prints)
+    for i, p in prints.items():
+        assert got[i]["fingerprint"] == f"{p:016x}" and got[i]["component_id"] == classes[i]
+
+
+@pytest.mark.parametrize("hot", [3, 2048])
+def test_simhash_links_of_close_prints(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_RUN", hot)
+    rng = random.Random(8)
+    prints, base = {}, [rng.getrandbits(64) for _ in range(12)]
+    for i in range(400):
+        p = rng.choice(base)
+        for _ in range(rng.randint(0, 6)):
+            p ^= 1 << rng.randrange(64)
+        prints[i] = p
+    table = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in prints.items()], "doc_id long, fp long")
+    classes = {r["fp"] & (1 << 64) - 1: r["component_id"] for r in simhash.groups(table).collect()}
+    assert {i: classes[p] for i, p in prints.items()} == plain_classes(prints)
+
+
+def test_keep_one(docs):
+    twice = docs.unionByName(docs)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(twice).collect()]
+    assert len(kept) == len(set(kept))
+    ids = [i for i, _ in kept]
+    assert 8 in ids and 9 not in ids and 0 in ids and 1 not in ids and 2 not in ids
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    pairs = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(500, 500)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert got == {i: root(i) for i in list(parent)}
+
+
+SECRET = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m.group(2)) >= 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 16),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m.group()) >= 32),
+]
+
+
+def plain_secrets(t):
+    out = [(m.start(), k, m.end(), kind) for k, (kind, p, good) in enumerate(SECRET) for m in p.finditer(t) if good(m)]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
+
+
+def test_secrets_base_equals_plain_scan(spark):
+    rng = random.Random(10)
+    bits = ["password", "TOKEN", "apikey", "api_key", "=", ": ", " ", '"', "abcdefgh", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é", "\n", "secret"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(secrets.find_secrets(table), "n_assign", "n_access", "n_hex", "base_sha256")
+    for i, t in enumerate(texts):
+        want = plain_secrets(t)
+        assert got[i][3] == hashlib.sha256(want.encode()).hexdigest(), t
+        assert got[i][:3] == tuple(want.count(k + ":") for k in ("assign", "access", "hex"))
+
+
+def test_secrets_markov_tells_random_from_ordinary(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios = secrets.log_ratios(docs)
+    key = base64.b64encode(hashlib.sha256(b"k").digest()).decode().strip("=")
+    text = f"use {key} with theandthatforreedhation and 12345678901234567890 please"
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), ratios).first()
+    assert [text[s["start"] : s["end"]] for s in got["markov"]] == [key]
+
+
+def test_topk_edges(spark):
+    table = [(0, [1.0, 0.5]), (1, [1.0]), (2, []), (3, None), (4, [None, 1.0]), (5, [float("nan")]), (20, [-0.01, 2.0]), (7, [1.0, 0.5]), (None, [1.0]), (7, [1.0, 0.5])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 3).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 7, 64 * 64 + 32 * 32), (0, 2, 1, 64 * 64), (0, 3, 20, -64 + 32 * 128), (20, 1, 0, -64 + 32 * 128), (20, 2, 7, -64 + 32 * 128), (20, 3, 2, 0)]
+    assert topk.top_k(df.where("false"), F.col("vec_id") == 0, 3).collect() == []
+
+
+def test_topk_large_weights_are_exact():
+    got = topk.block_top([1], [[3e12, 1.0]], np.array([2, 3]), [[2e6, 1.0], [-2e6, 5.0]], 2, 64)
+    assert got == [(1, 2, int(3e12) * 64 * int(2e6) * 64 + 64 * 64), (1, 3, -int(3e12) * 64 * int(2e6) * 64 + 64 * 320)]
+
+
+def plain_dedup(docs):
+    seen, out = {}, {}
+    split = re.compile(r"[^\x20\x09-\x0D]+")
+    words = {i: split.findall(t or "") for i, t in docs}
+    gone = {i: set() for i in words}
+    for i in sorted(words):
+        for s in range(len(words[i]) - 19):
+            key = tuple(words[i][s : s + 20])
+            if key in seen:
+                gone[i].update(range(s, s + 20))
+            else:
+                seen[key] = (i, s)
+    for i, w in words.items():
+        kept = [x for k, x in enumerate(w) if k not in gone[i]]
+        out[i] = (len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    return out
+
+
+def test_substrings_equal_brute_force(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(6)]
+    shared = [[rng.choice(vocab) for _ in range(rng.randint(15, 60))] for _ in range(5)]
+    docs = []
+    for i in range(120):
+        w = []
+        for _ in range(rng.randint(0, 4)):
+            w += rng.choice(shared) if rng.random() < 0.5 else [rng.choice(vocab + [f"u{rng.random()}"]) for _ in range(rng.randint(0, 40))]
+        docs.append((i * 3 % 120, " ".join(w)))
+    docs = list({i: (i, t) for i, t in docs}.values()) + [(1000, "a b " * 60), (1001, None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert by_id(substring_dedup.dedup_digest(table), "n_words", "n_removed", "kept_sha256") == plain_dedup(docs)
+
+
+def test_substring_sketch_never_loses(spark, monkeypatch):
+    """With so few cells that nearly all are full the result is the same."""
+    monkeypatch.setattr(substring_dedup, "MIN_BITS", 8)
+    monkeypatch.setattr(substring_dedup, "MAX_BITS", 8)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert by_id(substring_dedup.dedup_digest(table), "n_words", "n_removed", "kept_sha256") == plain_dedup(docs)
+
+
+def test_remove_repeats_keeps_white_space(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    docs = [(1, f"first\n\n{passage} end"), (2, f"second\t{passage}\nlast  words"), (3, "untouched \n text")]
+    got = by_id(substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")), "text")
+    assert got == {1: (docs[0][1],), 2: ("second\nlast  words",), 3: (docs[2][1],)}
