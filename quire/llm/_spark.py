@@ -12,9 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 #: Characters of text that a Python kernel holds as tokens at one time.
 CHUNK_CHARS = 1 << 20
 
+#: Bytes of a batch that goes between the JVM and Python. Both sides hold a few of them, and
+#: texts can be long.
+BATCH_BYTES = "4m"
+
 _own_root: list[str] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session by bytes; rows alone do not bound texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or in a session
     without that setting (tests on one machine) a folder of our own."""
@@ -61,6 +70,7 @@ def map_texts(
     """
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     src = df.select(*keep, text)
     added = StructType.fromDDL(schema)
     out = StructType([src.schema[c] for c in keep] + added.fields)

@@ -4,7 +4,7 @@ Method: a window is ``WINDOW`` consecutive words. Every window holds one anchor,
 ``ANCHOR`` words with the least hash in it, and equal windows have equal anchors at different
 places. A count-min sketch of the anchors (two rows of cells that saturate at two) therefore
 never underestimates how often a window occurs. Each task fills sketches of its own; they are
-merged cell range by cell range, not on the driver. The second pass groups exactly, by 128
+merged cell range by cell range, not on the driver. The second pass groups exactly, by 96
 bits of hash, only windows whose anchor is estimated repeated: none is lost.
 
 Sizes: the cells grow with the input (``CELLS`` for each expected anchor) up to ``MAX_BITS``;
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._cache import Memo
-from ._spark import chunks, map_texts, materialize
+from ._spark import chunks, materialize, small_batches
 
 WINDOW, ANCHOR = 20, 10
 #: Cells of a sketch row for each expected anchor, and the most bits of a cell number.
@@ -44,7 +44,7 @@ CELLS, MIN_BITS, MAX_BITS = 4, 16, 30
 #: Bits of a cell number within one range of a sketch row.
 RANGE_BITS = 18
 #: Characters of text whose windows are judged at one time in the second pass.
-PASS_CHARS = 1 << 21
+PASS_CHARS = 1 << 20
 
 _split = re.compile(rb"[^\x20\x09-\x0D]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -86,7 +86,7 @@ class Hasher:
 
     def __init__(self):
         digest = xxhash.xxh64_intdigest
-        self.memo = Memo(digest, 200_000)
+        self.memo = Memo(digest, 100_000)
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and the number of words of each text."""
@@ -165,7 +165,7 @@ def sketch(df: DataFrame, text_col: str, bits: int) -> DataFrame:
                 if len(mine):
                     held.append(mine)
                     size += len(mine)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield batch_of(flush())
                     held, size = [], 0
         if held:
@@ -218,32 +218,37 @@ class Estimate:
         return out
 
 
-def _intervals(starts: np.ndarray) -> bytes:
-    """Sorted window starts as runs (first start, last start), little-endian int32."""
-    if not len(starts):
-        return b""
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    first = starts[np.concatenate(([0], cut + 1))]
-    last = starts[np.concatenate((cut, [len(starts) - 1]))]
-    return np.stack((first, last), 1).astype("<i4").tobytes()
+def _packed(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The first row of each document of rows sorted by document, and each one's starts as
+    little-endian int32."""
+    edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    offsets = np.append(edge, len(doc)) * 4
+    data = pa.py_buffer(start.astype("<i4").tobytes())
+    return edge, pa.Array.from_buffers(pa.large_binary(), len(edge), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), data]).cast(pa.binary())
 
 
 def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``__id``, ``__null``, ``__text`` (the document's key) and ``runs``: the starts of
-    windows that also start earlier, as runs; several rows for a document."""
-    # a third of the words of a text in which words have six bytes; anchors are a sixth of the words
+    """``__id``, ``__text`` (the document's key) and ``start``: the word at which a window
+    starts that also starts earlier; a row for each."""
+    small_batches(df.sparkSession)
+    # words have six bytes or so, and an anchor comes every sixth word
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, total / 36 * CELLS))), MIN_BITS, MAX_BITS))
     parts = [(r[0], bytes(r[1])) for r in sketch(df, text_col, bits).collect()]
     guess = df.sparkSession.sparkContext.broadcast(Estimate(bits, parts))
-    keys = ["__null", "__id", "__text"]
-    out_schema = "h1 long, h2 long, __null boolean, __id long, __text long, start int, runs binary"
-    names = ["h1", "h2", *keys, "start", "runs"]
+    # the place packs start, and the text's 16 bits that tell rows of one id apart
+    out_schema = "h1 long, h2 int, __id long, place long, starts binary"
+    names = ["h1", "h2", "__id", "place", "starts"]
+    done_names = ["__id", "__text", "start"]
+    lowest = np.int64(-(1 << 63))
+
+    def ids_of(column: pa.Array) -> np.ndarray:
+        return column.fill_null(int(lowest)).to_numpy(zero_copy_only=False)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            texts = batch.column(3)
+            texts = batch.column(2)
             for a, b in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()], PASS_CHARS):
                 h, count = hasher.words(texts.slice(a, b - a).to_pylist())
                 valid = _valid(count, len(h))
@@ -251,95 +256,90 @@ def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 at = np.flatnonzero(guess.value.repeated(low))
                 if not len(at):
                     continue
-                h1, h2 = _runs(h, WINDOW, 2)[at], _runs(h, WINDOW, 3)[at]
+                h1 = _runs(h, WINDOW, 2)[at].view(np.int64)
+                h2 = (_runs(h, WINDOW, 3)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 begin = np.concatenate(([0], np.cumsum(count)[:-1]))
                 doc = np.repeat(np.arange(len(count)), count)[at]
                 start = at - begin[doc]
-                null, ids, text = (batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False) for k in range(3))
-                # the first of equal windows goes on; those that surely come later are repeats
-                order = np.lexsort((start, text[doc], ids[doc], ~null[doc], h2, h1))
-                o1, o2 = h1[order], h2[order]
+                ids = ids_of(batch.column(0).slice(a, b - a))
+                text = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
+                # equal ids have equal ranks: rows of one document
+                rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+                when = rank[doc] << 32 | start
+                order = np.lexsort((when, h2, h1))
+                o1, o2, ow = h1[order], h2[order], when[order]
                 later = np.concatenate(([False], (o1[1:] == o1[:-1]) & (o2[1:] == o2[:-1])))
-                lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(order))))
-                d, first = doc[order], doc[order][lead]
-                # rows at the same place in the order (one id, one start) are no repeats of each other
-                tie = later & (ids[d] == ids[first]) & (null[d] == null[first]) & (start[order] == start[order][lead])
-                send = order[~later | tie]
-                got = order[later & ~tie]
-                cols = [pa.array(h1[send].view(np.int64)), pa.array(h2[send].view(np.int64)), pa.array(null[doc[send]]), pa.array(ids[doc[send]]), pa.array(text[doc[send]]), pa.array(start[send].astype(np.int32)), pa.nulls(len(send), pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                first = np.maximum.accumulate(np.where(later, 0, np.arange(len(order))))
+                # the first of equal windows goes on, with rows at its very place; the others are repeats
+                known = later & (ow != ow[first])
+                send, got = order[~known], np.sort(order[known])
+                place = start[send] << 16 | text[doc[send]]
+                cols = [h1[send], h2[send], ids[doc[send]], place]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(send), pa.binary())], names=names)
                 if len(got):
-                    yield _by_doc(doc[got], start[got], null, ids, text)
-
-    def _by_doc(doc, start, null, ids, text):
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        own = doc[edge]
-        runs = [_intervals(s) for s in np.split(start, edge[1:])]
-        spread = np.arange(len(own), dtype=np.int64) * 7919 + int(text[own[0]])
-        cols = [pa.array(spread), pa.array(text[own]), pa.array(null[own]), pa.array(ids[own]), pa.array(text[own]), pa.nulls(len(own), pa.int32()), pa.array(runs, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=names)
+                    edge, starts = _packed(doc[got], start[got])
+                    own = doc[got][edge]
+                    cols = [ids[own] * 31 + text[own], np.zeros(len(own), np.int32), ids[own], text[own]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), starts], names=names)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come by window and place; all but the first place of a window are repeats
         last = None
         for batch in batches:
-            keep = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (2, 3, 4, 6)], names=[*keys, "runs"])
-            rows = np.flatnonzero(~keep)
+            ready = batch.column(4).is_valid()
+            whole = ready.to_numpy(zero_copy_only=False)
+            if whole.any():
+                own = batch.filter(ready)
+                size = pa.compute.binary_length(own.column(4)).to_numpy() // 4
+                ids, text = (np.repeat(own.column(k).to_numpy(), size) for k in (2, 3))
+                start = np.frombuffer(b"".join(own.column(4).to_pylist()), "<i4")
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(text.astype(np.int32)), pa.array(start)], names=done_names)
+            rows = np.flatnonzero(~whole)
             if not len(rows):
                 continue
-            h1, h2, null, ids, text = (batch.column(k).to_numpy(zero_copy_only=False)[rows] for k in range(5))
-            start = batch.column(5).fill_null(0).to_numpy(zero_copy_only=False)[rows]
+            h1, h2, ids, place = (batch.column(k).to_numpy(zero_copy_only=False)[rows] for k in range(4))
             new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
             if last is not None and (h1[0], h2[0]) == last[:2]:
                 new[0] = False
             lead = np.maximum.accumulate(np.where(new, np.arange(len(rows)), -1))
-            at = np.maximum(lead, 0)
-            f_null, f_id, f_start = null[at], ids[at], start[at]
+            start = place >> 16
+            f_id, f_start = ids[np.maximum(lead, 0)], start[np.maximum(lead, 0)]
             if last is not None:
-                carried = lead < 0
-                f_null, f_id, f_start = np.where(carried, last[2], f_null), np.where(carried, last[3], f_id), np.where(carried, last[4], f_start)
-            repeat = ~((null == f_null) & (ids == f_id) & (start == f_start))
-            last = (h1[-1], h2[-1], f_null[-1], f_id[-1], f_start[-1])
-            got = np.flatnonzero(repeat)
-            if len(got):
-                order = got[np.lexsort((start[got], text[got], ids[got], null[got]))]
-                n, i, t, s = null[order], ids[order], text[order], start[order]
-                edge = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (n[1:] != n[:-1]))))
-                runs = [_intervals(x) for x in np.split(s, edge[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(n[edge]), pa.array(i[edge]), pa.array(t[edge]), pa.array(runs, pa.binary())], names=[*keys, "runs"])
+                f_id, f_start = np.where(lead < 0, last[2], f_id), np.where(lead < 0, last[3], f_start)
+            last = (h1[-1], h2[-1], f_id[-1], f_start[-1])
+            got = (ids != f_id) | (start != f_start)
+            if got.any():
+                cols = [ids[got], (place[got] & 0xFFFF).astype(np.int32), start[got].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=done_names)
 
     import pyarrow.compute  # noqa: F401  (pa.compute)
 
-    keyed = _keyed(df, id_col, text_col).select(*keys, text_col)
+    keyed = _keyed(df, id_col, text_col).select("__id", "__text", text_col)
     sent = keyed.mapInArrow(windows, out_schema)
-    # nulls (no id) come first in the order of documents
-    sent = sent.repartition("h1", "h2").sortWithinPartitions("h1", "h2", F.desc("__null"), "__id", "start")
-    return sent.mapInArrow(later, "__null boolean, __id long, __text long, runs binary")
+    sent = sent.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "__id", "place")
+    return sent.mapInArrow(later, "__id long, __text int, start int")
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.withColumn("__null", F.col(id_col).isNull()).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))).withColumn("__text", F.xxhash64(text_col))
+    """``df`` with the place of a document in the order (no id: before all others), and 16 bits
+    of its text that tell rows of one id apart."""
+    place = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    return df.withColumn("__id", place).withColumn("__text", F.pmod(F.xxhash64(text_col), F.lit(1 << 16)).cast("int"))
 
 
-def covered(n_words: int, runs: list[bytes]) -> np.ndarray:
-    """Which words stand in a window of ``runs``."""
-    step = np.zeros(n_words + 1, np.int64)
-    for r in runs:
-        pairs = np.frombuffer(r, "<i4").reshape(-1, 2)
-        np.add.at(step, pairs[:, 0], 1)
-        np.add.at(step, np.minimum(pairs[:, 1] + WINDOW, n_words), -1)
-    return np.cumsum(step)[:-1] > 0
+def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
+    """Which words stand in a window that starts at one of ``starts``."""
+    begun = np.bincount(starts, minlength=n_words)[:n_words] > 0
+    step = np.cumsum(begun)
+    step[WINDOW:] -= step[:-WINDOW].copy()
+    return step > 0
 
 
 def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with ``__in``: its text and the runs of its repeated windows (null: none)."""
+    """``df`` with ``__runs``: the starts of its repeated windows (null: none)."""
     found = repeated_windows(df, id_col=id_col, text_col=text_col)
-    runs = materialize(found.groupBy("__null", "__id", "__text").agg(F.collect_list("runs").alias("__runs")), "runs")
-    return _keyed(df, id_col, text_col).join(runs, ["__null", "__id", "__text"], "left")
+    runs = materialize(found.groupBy("__id", "__text").agg(F.collect_list("start").alias("__runs")), "runs")
+    return _keyed(df, id_col, text_col).join(runs, ["__id", "__text"], "left")
 
 
 def _map_judged(joined: DataFrame, keep: list[str], text_col: str, schema: str, fn) -> DataFrame:
@@ -355,8 +355,10 @@ def _map_judged(joined: DataFrame, keep: list[str], text_col: str, schema: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks([x or 0 for x in pa.compute.binary_length(batch.column(k)).to_pylist()]):
-                texts, runs = batch.column(k).slice(a, b - a).to_pylist(), batch.column(k + 1).slice(a, b - a).to_pylist()
-                rows = [fn(t, r or []) for t, r in zip(texts, runs)]
+                texts, lists = batch.column(k).slice(a, b - a).to_pylist(), batch.column(k + 1).slice(a, b - a)
+                size = lists.value_lengths().fill_null(0).to_numpy()
+                runs = np.split(lists.flatten().to_numpy(), np.cumsum(size)[:-1])
+                rows = [fn(t, r) for t, r in zip(texts, runs)]
                 cols = [batch.column(i).slice(a, b - a) for i in range(k)]
                 cols += [pa.array([r[j] for r in rows], arrow.field(k + j).type) for j in range(len(arrow) - k)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
@@ -372,7 +374,7 @@ def dedup_digest(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def one(text, runs):
         words = text.encode().split() if text else []
-        if runs:
+        if len(runs):
             gone = covered(len(words), runs)
             kept = [w for w, g in zip(words, gone.tolist()) if not g]
         else:
@@ -387,7 +389,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     white space; texts without a repeat stay as they are. Other columns and their order stay."""
 
     def one(text, runs):
-        if not runs:
+        if not len(runs):
             return (text,)
         raw = text.encode()
         spans = [m.span() for m in _split.finditer(raw)]
