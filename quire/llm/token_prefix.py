@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import accumulate
 
 import numpy as np
 import regex
@@ -56,10 +57,11 @@ class PrefixCounter:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {p: r for r, p in enumerate(pairs)}
         self.parts = {a + b: (a, b) for a, b in reversed(pairs)}
-        #: tokens that end a word, without the mark; every beginning of a token, and whether it is one itself
-        self.last_part = {t[: -len(self.end)] for t in self.vocab if t.endswith(self.end)}
-        self.starts = {t[:k]: False for t in self.last_part | set(self.vocab) for k in range(1, len(t) + 1)}
-        self.starts.update({t: True for t in self.vocab if not t.endswith(self.end)})
+        #: every beginning of a token; 1 is added if it is one itself, 2 if it is one at a word's end
+        last_part = {t[: -len(self.end)] for t in self.vocab if t.endswith(self.end)}
+        whole = {t for t in self.vocab if not t.endswith(self.end)}
+        self.starts = {t[:k]: 0 for t in last_part | whole for k in range(1, len(t) + 1)}
+        self.starts = {t: (t in whole) + 2 * (t in last_part) for t in self.starts}
         self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
         steps = spec["pre_tokenizer"]["pretokenizers"]
         words = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
@@ -69,7 +71,9 @@ class PrefixCounter:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
         self.chars = _byte_chars()
-        self.right: dict[tuple[str, str], bool] = {}
+        #: for a token, the tokens after it that are known to fit or not: within a word, and at its end
+        self.right: dict[str, tuple[dict[str, bool], dict[str, bool]]] = {}
+        self.known = 0
         self.cache = Memo(self._deltas, CACHE_WORDS)
 
     def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
@@ -84,10 +88,6 @@ class PrefixCounter:
         """Whether the tokenizer leaves ``a`` and ``b`` side by side as they are: no pair of
         pieces that meet at the border merges before one of them is swallowed. At equal
         ranks the pair further left is first."""
-        key = (a, b)
-        known = self.right.get(key)
-        if known is not None:
-            return known
         xs = self.edges.get((a, 1)) or self.edges.setdefault((a, 1), self._edge(a, 1))
         ys = self.edges.get((b, 0)) or self.edges.setdefault((b, 0), self._edge(b, 0))
         i = j = 0
@@ -104,45 +104,50 @@ class PrefixCounter:
                 i += 1
             else:
                 j += 1
-        if len(self.right) > 500_000:
+        self.known += 1
+        if self.known > 500_000:
             self.right.clear()
-        self.right[key] = fits
+            self.known = 0
         return fits
 
     def word_counts(self, word: str) -> list[int]:
         """Exact token counts of the prefixes of ``word`` after 1, 2, ... characters, each
         prefix taken as a word of its own."""
-        chars, w, stops = self.chars, [], []
-        for c in word:
-            w += [chars[b] for b in c.encode()]
-            stops.append(len(w))
-        text, fits, end = "".join(w), self._fits, self.end
-        starts, last_part, known = self.starts, self.last_part, self.right.get
-        n = len(text)
+        plain = word.isascii() and word.isalpha()
+        text, stop = word, None
+        if not plain:
+            # bytes are spelled as characters; prefixes end only where a character of the word does
+            parts = ["".join([self.chars[b] for b in c.encode()]) for c in word]
+            text, stop = "".join(parts), set(accumulate(map(len, parts)))
+        n, end, fits, starts, right = len(text), self.end, self._fits, self.starts, self.right
         last: list[str | None] = [None] * (n + 1)
         count = [0] * (n + 1)
         ended = [0] * (n + 1)
-        stop = set(stops)
         for s in range(n):
             before = last[s]
-            if s and before is None:
-                continue
+            if s:
+                if before is None:
+                    continue
+                inner, final = right.get(before) or right.setdefault(before, ({}, {}))
             c = count[s] + 1
             for e in range(s + 1, n + 1):
                 t = text[s:e]
                 kind = starts.get(t)
                 if kind is None:
                     break
-                if kind and last[e] is None and e < n:
-                    ok = s == 0 or known((before, t))
-                    if ok or ok is None and fits(before, t):
+                if kind & 1 and e < n and last[e] is None:
+                    ok = True if s == 0 else inner.get(t)
+                    if ok is None:
+                        ok = inner[t] = fits(before, t)
+                    if ok:
                         last[e], count[e] = t, c
-                if not ended[e] and e in stop and t in last_part:
-                    u = t + end
-                    ok = s == 0 or known((before, u))
-                    if ok or ok is None and fits(before, u):
+                if kind & 2 and not ended[e] and (plain or e in stop):
+                    ok = True if s == 0 else final.get(t)
+                    if ok is None:
+                        ok = final[t] = fits(before, t + end)
+                    if ok:
                         ended[e] = c
-        return [ended[e] for e in stops]
+        return ended[1:] if plain else [ended[e] for e in sorted(stop)]
 
     def _deltas(self, piece: str) -> bytes:
         """The changes of the count over one tile."""
