@@ -210,3 +210,27 @@ def fit_dimensions(width: Column, height: Column, most_width: int, most_height:
     scale = F.least(F.lit(most_width) / width, F.lit(most_height) / height)
     side = lambda x: F.greatest(F.lit(1), F.round(x * scale)).cast("int")
     return side(width), side(height)
+
+
+def relink_toc(toc: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Contents (book_id, play_order, title, href) after a split; chunks: book_id, from_href,
+    title, href, pos. Entries of a split document go to its first chunk of the same title."""
+    first = chunks.groupBy("book_id", "from_href", "title").agg(F.min_by("href", "pos").alias("__new"))
+    keyed = toc.withColumn("from_href", X.fragment_strip(F.col("href")))
+    out = keyed.join(first, ["book_id", "from_href", "title"], "left")
+    return out.select("book_id", "play_order", "title", F.coalesce("__new", "href").alias("href"))
+
+
+def minify_css(css: Column) -> Column:
+    """A sheet without comments and white space that means nothing. Strings are kept: the sheet
+    is cut at them, and only what lies between is changed."""
+    string = r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
+    bare = F.regexp_replace(css, r"/\*[\s\S]*?\*/", "")
+    strings = F.regexp_extract_all(bare, F.lit(string), F.lit(1))
+
+    def shrink(piece: Column) -> Column:
+        one = F.regexp_replace(F.regexp_replace(piece, r"\s+", " "), r"\s*([{};,])\s*", "$1")
+        return F.replace(F.regexp_replace(one, r":\s+", ":"), F.lit(";}"), F.lit("}"))
+
+    pieces = F.transform(F.split(bare, string, -1), shrink)
+    return F.trim(F.array_join(F.flatten(F.transform(pieces, lambda p, i: F.array(p, F.coalesce(F.get(strings, i), F.lit(""))))), ""))
