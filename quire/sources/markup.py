@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+import contextlib
 import html
 import re
 import xml.etree.ElementTree as ET
@@ -10,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import book as B
+
 _INLINE = (
     (re.compile(r"`([^`]+)`"), r"<code>\1</code>"),
     (re.compile(r"!\[([^\]]*)\]\(([^)\s]+)\)"), r'<img src="\2" alt="\1" />'),
@@ -85,61 +90,107 @@ def markdown_html(text: str | None) -> str:
     return "\n".join(out) + ("\n" if out else "")
 
 
-#: FB2 element -> HTML element within text, and of blocks.
+#: FB2 element -> HTML element within text; opening and closing tags of blocks.
 _FB2_INLINE = {"strong": "strong", "emphasis": "em", "strikethrough": "del", "code": "code", "sub": "sub", "sup": "sup"}
-_FB2_BLOCK = {"p": "p", "v": "p", "subtitle": "h4", "text-author": "p"}
-_FB2_FRAME = {"poem": "div", "stanza": "div", "cite": "blockquote", "epigraph": "blockquote"}
+_FB2_BLOCK = {"p": ("<p>", "</p>"), "v": ('<p class="verse">', "</p>"), "subtitle": ("<h3>", "</h3>"), "text-author": ('<p class="text-author">', "</p>")}
+_FB2_FRAME = {"poem": ('<div class="poem">', "</div>"), "stanza": ('<div class="stanza">', "</div>"), "cite": ("<blockquote>", "</blockquote>"), "epigraph": ('<div class="epigraph">', "</div>")}
 
 
 def _name(e: ET.Element) -> str:
     return e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
 
 
-def fb2_html(data: str) -> tuple[str | None, str]:
-    """The title and the body's HTML of an FB2 book; sections give the heading levels."""
-    root = ET.fromstring(data)
-    title = next((e.text.strip() for e in root.iter() if _name(e) == "book-title" and e.text), None)
-    out: list[str] = []
+def _href(e: ET.Element) -> str:
+    return next((v for k, v in e.attrib.items() if k.rsplit("}", 1)[-1] == "href"), "")
 
-    def text(e: ET.Element) -> str:
-        parts = [html.escape(e.text or "", quote=False)]
-        for c in e:
-            tag = _FB2_INLINE.get(_name(c))
-            if _name(c) == "image":
-                parts.append(_image(c))
-            else:
-                parts.append(f"<{tag}>{text(c)}</{tag}>" if tag else text(c))
-            parts.append(html.escape(c.tail or "", quote=False))
-        return "".join(parts)
 
-    def _image(e: ET.Element) -> str:
-        href = next((v for k, v in e.attrib.items() if k.rsplit("}", 1)[-1] == "href"), "").lstrip("#")
-        return f'<img src="images/{html.escape(href)}" alt=""/>'
+def _fb2_inline(e: ET.Element) -> str:
+    parts = [B.text(e.text or "")]
+    for c in e:
+        kind = _name(c)
+        if kind == "image":
+            parts.append(_fb2_image(c))
+        elif kind == "a":
+            parts.append(f'<a href="{B.attr(_href(c))}">{_fb2_inline(c)}</a>')
+        else:
+            tag = _FB2_INLINE.get(kind)
+            parts.append(f"<{tag}>{_fb2_inline(c)}</{tag}>" if tag else _fb2_inline(c))
+        parts.append(B.text(c.tail or ""))
+    return "".join(parts)
+
+
+def _fb2_image(e: ET.Element) -> str:
+    return f'<img src="images/{B.attr(_href(e).lstrip("#"))}" alt=""/>'
+
 
-    # an explicit stack: nested sections of any depth
-    stack: list[tuple[str, ET.Element | None, int]] = [("open", b, 0) for b in reversed([e for e in root if _name(e) == "body"])]
+def _fb2_body(root: ET.Element) -> str:
+    """The bodies as HTML. The depth of sections gives the heading level; a title outside any
+    section is plain paragraphs."""
+    out: list[str] = []
+    # an explicit stack: sections may nest to any depth
+    stack: list[tuple[str, ET.Element | None, int]] = [("", b, 0) for b in reversed([e for e in root if _name(e) == "body"])]
     while stack:
-        what, e, depth = stack.pop()
+        closing, e, depth = stack.pop()
         if e is None:
-            out.append(what)
+            out.append(closing)
             continue
         kind = _name(e)
-        if kind == "title":
-            n = min(max(depth, 1), 6)
-            out.append(f"<h{n}>" + " ".join(text(p).strip() for p in e if _name(p) == "p") + f"</h{n}>")
+        if kind == "title" and depth:
+            words = " ".join("".join(p.itertext()).strip() for p in e if _name(p) == "p").strip()
+            if words:
+                n = min(depth, 6)
+                out.append(f"<h{n}>{B.text(words)}</h{n}>")
         elif kind in _FB2_BLOCK:
-            out.append(f"<{_FB2_BLOCK[kind]}>{text(e)}</{_FB2_BLOCK[kind]}>")
+            before, after = _FB2_BLOCK[kind]
+            out.append(f"{before}{_fb2_inline(e)}{after}")
         elif kind == "empty-line":
             out.append("<br/>")
         elif kind == "image":
-            out.append(_image(e))
+            out.append(_fb2_image(e))
         else:
-            frame = _FB2_FRAME.get(kind)
-            if frame:
-                out.append(f"<{frame}>")
-                stack.append((f"</{frame}>", None, depth))
-            stack += [("open", c, depth + (kind == "section" or kind == "body")) for c in reversed(e)]
-    return title, "\n".join(out)
+            if kind in _FB2_FRAME:
+                before, after = _FB2_FRAME[kind]
+                out.append(before)
+                stack.append((after, None, depth))
+            stack += [("", c, depth + (kind == "section")) for c in reversed(e)]
+    return "\n".join(out)
+
+
+def fb2_html(data: str) -> tuple[str | None, str]:
+    """The title and the body's HTML of an FB2 book."""
+    root = ET.fromstring(data)
+    title = next((e.text.strip() for e in root.iter() if _name(e) == "book-title" and e.text), None)
+    return title, _fb2_body(root)
+
+
+def read_fb2(data: bytes, stem: str) -> dict:
+    """An FB2 book: metadata of its three descriptions, text, embedded pictures. Pictures that
+    are not base64 are left out."""
+    root = ET.fromstring(data)
+    terms = B.Terms()
+    below = lambda kind: [e for d in root if _name(d) == "description" for i in d if _name(i) == kind for e in i]
+    for e in below("title-info"):
+        kind = _name(e)
+        if kind == "author":
+            names = [(c.text or "").strip() for c in e if _name(c) in ("first-name", "middle-name", "last-name", "nickname")]
+            terms.add("creator", " ".join(n for n in names if n))
+        elif kind == "genre":
+            terms.add("subject", e.text)
+        elif kind in ("book-title", "lang", "language", "date"):
+            terms.put({"book-title": "title", "lang": "language"}.get(kind, kind), e.text)
+    for e in below("publish-info"):
+        if _name(e) in ("publisher", "isbn"):
+            terms.put({"isbn": "identifier"}.get(_name(e), _name(e)), e.text)
+    if terms.get("identifier") is None:
+        terms.put("identifier", next((e.text for e in below("document-info") if _name(e) == "id"), None))
+    pictures = []
+    for e in root.iter():
+        if _name(e) == "binary" and e.get("id") and e.get("content-type"):
+            with contextlib.suppress(binascii.Error):
+                pictures.append((e.get("id"), "images/" + e.get("id"), base64.b64decode(re.sub(r"\s", "", e.text or ""), validate=True), e.get("content-type")))
+    book = B.single(stem, terms.rows, _fb2_body(root), [p[:3] for p in pictures])
+    book["items"] = [(i, h, pictures[k][3] if k < len(pictures) else m, t, d) for k, (i, h, m, t, d) in enumerate(book["items"])]
+    return book
 
 
 def page_rows(data: str) -> list[tuple]:

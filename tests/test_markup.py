@@ -18,7 +18,7 @@ def test_markdown(spark):
 def test_fb2(spark):
     book = "<FictionBook><description><title-info><book-title>T</book-title></title-info></description><body><section><title><p>One</p></title><p>a <strong>b</strong> &amp; c</p><section><title><p>Two</p></title><empty-line/><poem><stanza><v>v</v></stanza></poem></section></section></body></FictionBook>"
     title, body = M.fb2_html(book)
-    assert title == "T" and body.split("\n") == ["<h2>One</h2>", "<p>a <strong>b</strong> &amp; c</p>", "<h3>Two</h3>", "<br/>", "<div>", "<div>", "<p>v</p>", "</div>", "</div>"]
+    assert title == "T" and body.split("\n") == ["<h1>One</h1>", "<p>a <strong>b</strong> &amp; c</p>", "<h2>Two</h2>", "<br/>", '<div class="poem">', '<div class="stanza">', '<p class="verse">v</p>', "</div>", "</div>"]
     got = {r["book_id"]: r for r in M.fb2_books(spark.createDataFrame([(1, book), (2, "<broken")], "book_id int, t string"), "t").collect()}
     assert got[1]["title"] == "T" and "ParseError" in got[2]["error"]
 
