@@ -63,8 +63,9 @@ def split_document(html: Column) -> Column:
     has = html.rlike(r"(?is)<body[^>]*>.*</body>") & (F.octet_length(html) >= SPLIT_BYTES)
     body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
     cut = F.regexp_replace(body, r"(?i)(<h[12][^>]*>)", mark + "$1")
-    cut = F.regexp_replace(cut, r'(?i)(<div\s[^>]*class\s*=\s*"mbp_pagebreak"[^>]*>\s*</div>)', "$1" + mark)
-    chunks = F.filter(F.split(cut, mark), lambda c, i: (X.trim(c) != "") & ~((i == 0) & (X.trim(c) == "<br/>")))
+    cut = F.regexp_replace(cut, r"""(?i)(<div[^>]*class\s*=\s*["']mbp_pagebreak["'][^>]*>\s*</div>)""", "$1" + mark)
+    pieces = F.transform(F.split(cut, mark), X.trim)
+    chunks = F.filter(pieces, lambda c, i: (c != "") & ~((i == 0) & (c == "<br/>")))
     small = (F.size(chunks) > SMALL_CHUNKS) & (F.floor(F.octet_length(body) / F.size(chunks)) < SMALL_BYTES)
     return F.when(has & (F.size(chunks) > 1) & ~small, chunks)
 
@@ -81,12 +82,14 @@ def split_chapters(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.withColumn("title", chunk_title(F.col("body")))
 
 
-def data_uris(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (book_id, pos, text) with embedded images set apart: the rewritten documents,
-    and the images (book_id, n from 1 over the book, media_type, href, data)."""
+def data_uris(docs: DataFrame, only: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents (book_id, pos, text, more) with embedded images set apart: the rewritten
+    documents, and the images (book_id, n from 1 over the book, media_type, href, data).
+    ``only``: which documents are searched."""
     pattern = r"""src\s*=\s*["'](data:([^;]+);base64,([^"']+))["']"""
     got = lambda g: F.regexp_extract_all("text", F.lit(pattern), F.lit(g))
     rows = docs.where(F.contains("text", F.lit("data:")))
+    rows = rows if only is None else rows.where(only)
     refs = rows.select("book_id", "pos", F.posexplode(F.arrays_zip(got(1).alias("uri"), got(2).alias("mime"), got(3).alias("code"))).alias("k", "r"))
     data = F.try_to_binary(F.regexp_replace("r.code", r"\s", ""), F.lit("base64"))
     refs = refs.select("book_id", "pos", "k", "r.uri", F.col("r.mime").alias("media_type"), data.alias("data")).where("data is not null")
@@ -95,7 +98,7 @@ def data_uris(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_doc = refs.groupBy("book_id", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "uri", "href"))).alias("refs"))
     joined = docs.join(by_doc, ["book_id", "pos"], "left")
     text = F.aggregate(F.coalesce("refs", F.array().cast("array<struct<k:int,uri:string,href:string>>")), F.col("text"), lambda t, r: F.replace(t, r["uri"], r["href"]))
-    return joined.select("book_id", "pos", text.alias("text")), refs.select("book_id", "n", "media_type", "href", "data")
+    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns]), refs.select("book_id", "n", "media_type", "href", "data")
 
 
 def clean_guide(guide: DataFrame) -> DataFrame:
@@ -154,12 +157,13 @@ def template_margins(media_type: Column, kind: Column, html: Column) -> Column:
     return F.when(media_type.isin(*PAGE_TEMPLATES) & (kind == "xhtml"), F.regexp_replace(html, r"margin\s*:\s*[^;]+;?", "")).otherwise(html)
 
 
-def fake_margins(docs: DataFrame) -> DataFrame:
-    """Documents (book_id, pos, text) without the left or right margin that 95 in 100 of a
+def fake_margins(docs: DataFrame, only: Column | None = None) -> DataFrame:
+    """Documents (book_id, pos, text, more), of those ``only`` names, without the left or right margin that 95 in 100 of a
     book's styled elements share. Partial counts are merged by book; the winners, one row for
     a book, come back over an equality join."""
     styles = F.regexp_extract_all("text", F.lit(r'<(p|div)\s[^>]*style\s*=\s*"([^"]*)"[^>]*>'), F.lit(2))
-    one = docs.select("book_id", F.explode(styles).alias("style"))
+    searched = docs if only is None else docs.where(only)
+    one = searched.select("book_id", F.explode(styles).alias("style"))
     value = lambda side: X.trim(F.regexp_extract("style", rf"margin-{side}\s*:\s*([^;]+)", 1))
     each = one.select("book_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), value(s).alias("value")) for s in ("left", "right")])).alias("m"))
     counted = each.groupBy("book_id", "m.side", "m.value").agg(F.count("*").alias("n"))
@@ -173,18 +177,21 @@ def fake_margins(docs: DataFrame) -> DataFrame:
         text = F.when(F.col(s).isNull(), text).otherwise(F.regexp_replace(text, pattern, F.lit("")))
     gone = F.coalesce("left", "right").isNotNull()
     text = F.when(gone, F.regexp_replace(text, r'\s*style\s*=\s*"\s*"', "")).otherwise(text)
-    return docs.join(sides, "book_id", "left").select("book_id", "pos", text.alias("text"))
+    text = text if only is None else F.when(only, text).otherwise(F.col("text"))
+    return docs.join(sides, "book_id", "left").select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
-def css_links(html: Column, hrefs: list[str]) -> Column:
+def css_links(html: Column, hrefs: list[str] | Column) -> Column:
     """A link to each sheet that the document does not name yet, before the end of its head."""
-    out = html
-    for h in hrefs:
+    hrefs = F.array(*map(F.lit, hrefs)) if isinstance(hrefs, list) else hrefs
+
+    def link(out: Column, h: Column) -> Column:
         at = F.instr(F.lower(out), F.lit("</head>"))
-        there = F.contains(out, F.lit(f'href="{h}"')) | F.contains(out, F.lit(f"href='{h}'"))
-        new = F.concat(F.substr(out, F.lit(1), at - 1), F.lit(f'<link rel="stylesheet" type="text/css" href="{h}"/>\n'), F.substr(out, at))
-        out = F.when(there | (at == 0), out).otherwise(new)
-    return out
+        there = F.contains(out, F.concat(F.lit('href="'), h, F.lit('"'))) | F.contains(out, F.concat(F.lit("href='"), h, F.lit("'")))
+        tag = F.concat(F.lit('<link rel="stylesheet" type="text/css" href="'), h, F.lit('"/>\n'))
+        return F.when(there | (at == 0), out).otherwise(F.concat(F.substr(out, F.lit(1), at - 1), tag, F.substr(out, at)))
+
+    return F.aggregate(hrefs, html, link)
 
 
 def references(docs: DataFrame, keep: list[str]) -> DataFrame:

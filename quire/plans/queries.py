@@ -97,7 +97,7 @@ def html_title(spark, sf_dir):
                      strlen(html) >= 10000 AND regexp_matches(html, '(?is)<body[^>]*>.*</body>') AS big FROM (SELECT page_id, {_DEEP} AS html FROM pages)),
         c AS (SELECT page_id, html, body, big, list_filter(string_split(regexp_replace(body, '(?i)(<h[12][^>]*>)', chr(1) || '\1', 'g'), chr(1)), lambda x: {_TRIM.format('x')} <> '') AS cs FROM b),
         d AS (SELECT page_id, CASE WHEN big AND len(cs) > 1 AND NOT (len(cs) > 5 AND strlen(body) // len(cs) < 500) THEN cs END AS cs, html FROM c),
-        e AS (SELECT page_id, cs IS NOT NULL AS was_split, coalesce(cs, [html]) AS cs FROM d),
+        e AS (SELECT page_id, cs IS NOT NULL AS was_split, coalesce(list_transform(cs, lambda x: {_TRIM.format('x')}), [html]) AS cs FROM d),
         f AS (SELECT page_id, was_split, unnest(cs) AS body, unnest(generate_series(0, len(cs) - 1)) AS chunk FROM e)
         SELECT page_id, was_split, CAST(chunk AS INTEGER) AS chunk, md5(body) AS body_md5,
                {_TRIM.format("regexp_replace(regexp_extract(body, '(?is)<h[12][^>]*>(.*?)</h[12]>', 1), '<[^>]+>', '', 'g')")} AS title FROM f""")
