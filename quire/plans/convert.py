@@ -1,7 +1,9 @@
 """The conversion of a collection: reader tables, an ordered list of transforms, a writer.
 
-A stage maps ``Books`` to ``Books`` and only declares plans; nothing runs before a writer's rows
-are asked for. Stages that an option turns off are not in the plan.
+A stage maps ``Books`` to ``Books`` by declaring plans. Where the tables that follow would each
+repeat a long plan, ``apply`` writes them once (``CUTS``): manifests after the first and before
+and after the splitting stage, narrow tables after the stages that make them. Stages that an
+option turns off are not in the plan.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from ..operators import binary_books, sinks
 from ..operators import transforms as T
 from ..options import Options
 from ..sources.books import Books
+from .store import cut
 
 Stage = Callable[[Books], Books]
 
@@ -31,6 +34,17 @@ def _is_css() -> Column:
     return F.col("media_type") == "text/css"
 
 
+#: Stage -> the tables that are written once it is declared.
+CUTS = {
+    "data_url": ("books", "manifest"),
+    "detect_structure": ("books", "toc", "guide"),
+    "flatten_css": ("books", "manifest", "spine"),
+    "page_margin": ("manifest",),
+    "split_chapters": ("books", "manifest", "spine", "toc"),
+    "trim_manifest": ("manifest",),
+}
+
+
 def _numbered(b: Books, added: DataFrame) -> DataFrame:
     """Books whose ``next_id`` has moved on by the counts in ``added`` (book_id, n)."""
     moved = F.col("next_id") + F.coalesce("n", F.lit(0))
@@ -82,8 +96,8 @@ def jacket(insert: bool, drop_image: bool) -> Stage:
         manifest, books, spine = b.manifest, b.books, b.spine
         if drop_image:
             first = b.spine.groupBy("book_id").agg(F.min_by("idref", "pos").alias("id")).withColumn("__first", F.lit(True))
-            cut = F.when(F.col("__first") & _is_doc(), T.remove_first_image(F.col("text"))).otherwise(F.col("text"))
-            manifest = manifest.join(first, ["book_id", "id"], "left").withColumn("text", cut).select(*b.manifest.columns)
+            bare = F.when(F.col("__first") & _is_doc(), T.remove_first_image(F.col("text"))).otherwise(F.col("text"))
+            manifest = manifest.join(first, ["book_id", "id"], "left").withColumn("text", bare).select(*b.manifest.columns)
         if insert:
             values = lambda t: F.transform(F.filter("metadata", lambda m: m["term"] == t), lambda m: m["value"])
             one = lambda t: F.try_element_at(values(t), F.lit(1))
@@ -152,8 +166,8 @@ def split_chapters(b: Books) -> Books:
     are numbered in the order of spine and chapters. Only split documents' rows are renumbered."""
     spine = b.spine.select("book_id", F.col("pos").alias("__at"), F.col("idref").alias("id"), "linear")
     docs = b.manifest.where(_is_doc()).join(spine, ["book_id", "id"])
-    cut = docs.withColumn("__chunks", T.split_document(F.col("text"))).where("__chunks is not null")
-    rows = cut.select("book_id", "__at", F.col("pos").alias("__doc"), "id", "href", F.posexplode("__chunks").alias("chunk", "body")).withColumn("title", T.chunk_title(F.col("body")))
+    long = docs.withColumn("__chunks", T.split_document(F.col("text"))).where("__chunks is not null")
+    rows = long.select("book_id", "__at", F.col("pos").alias("__doc"), "id", "href", F.posexplode("__chunks").alias("chunk", "body")).withColumn("title", T.chunk_title(F.col("body")))
     rows = rows.join(b.books.select("book_id", "next_id"), "book_id")
     new = F.when(F.col("chunk") > 0, 1).otherwise(0)
     order = Window.partitionBy("book_id").orderBy("__at", "chunk").rowsBetween(Window.unboundedPreceding, 0)
@@ -165,6 +179,7 @@ def split_chapters(b: Books) -> Books:
         F.when(F.col("chunk") == 0, F.col("href")).otherwise(F.concat(base, F.lit("_ch"), F.col("chunk").cast("string"), F.lit(".xhtml"))).alias("href"),
         X.xhtml_document(F.when(F.col("title") == "", "Chapter").otherwise(F.col("title")), F.col("body"), css="style.css").alias("text"),
     )
+    rows = cut(rows, "chapters")  # used for items, spine, contents and counts
     whole = b.manifest.join(rows.select("book_id", F.col("__doc").alias("pos")).distinct(), ["book_id", "pos"], "left_anti")
     firsts = rows.where("chunk = 0").select("book_id", F.col("__doc").alias("pos"), "id", "href", F.lit("application/xhtml+xml").alias("media_type"), "text", F.lit(None).cast("binary").alias("data"))
     later = rows.where("chunk > 0").withColumn("k", F.row_number().over(Window.partitionBy("book_id").orderBy("__at", "chunk")) - 1)
@@ -203,13 +218,14 @@ def standard_stages(o: Options) -> list[tuple[str, Stage]]:
 
 
 def apply(b: Books, stages: list[tuple[str, Stage]], progress: Callable[[float, str], None] | None = None) -> Books:
-    """``b`` after all stages. ``progress`` hears of each stage as it is planned, not run."""
+    """``b`` after all stages. ``progress`` hears of each stage before it is declared."""
 
     def step(acc: Books, at: tuple[int, tuple[str, Stage]]) -> Books:
         k, (name, stage) = at
         if progress:
             progress(0.34 + 0.56 * k / len(stages), name)
-        return stage(acc)
+        done = stage(acc)
+        return done.having(**{t: cut(getattr(done, t), t) for t in CUTS.get(name, ())})
 
     return reduce(step, enumerate(stages), b)
 

@@ -1,0 +1,25 @@
+"""Tables written in the shared folder, to cut plans that use a table several times."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+_own: list[str] = []
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back: what follows has a
+    short plan, and a lost executor costs a reread. Only a session without that setting (one
+    machine) uses a temporary folder."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="quire-"))
+        root = _own[0]
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

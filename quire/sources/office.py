@@ -32,6 +32,10 @@ class _Archive:
         self.zip = zipfile.ZipFile(io.BytesIO(data))
         self.names = self.zip.namelist()
 
+    def parts(self, name: str) -> list[ET.Element]:
+        root = self.xml(name)
+        return [] if root is None else list(root)
+
     def xml(self, name: str) -> ET.Element | None:
         """A part as a tree; None if it is missing or broken."""
         try:
@@ -162,7 +166,7 @@ class _Docx:
 def read_docx(data: bytes, stem: str) -> dict:
     z = _Archive(data)
     terms = B.Terms()
-    for e in z.xml("docProps/core.xml") or ():
+    for e in z.parts("docProps/core.xml"):
         kind = _name(e)
         if kind == "keywords":
             for word in (e.text or "").split(","):
@@ -176,9 +180,9 @@ def read_docx(data: bytes, stem: str) -> dict:
             terms.add(kind, e.text)
         elif kind == "lastModifiedBy":
             terms.add("contributor", e.text)
-    rels = {r.get("Id"): r.get("Target") for r in z.xml("word/_rels/document.xml.rels") or () if r.get("Id")}
+    rels = {r.get("Id"): r.get("Target") for r in z.parts("word/_rels/document.xml.rels") if r.get("Id")}
     bullets = {}
-    for a in z.xml("word/numbering.xml") or ():
+    for a in z.parts("word/numbering.xml"):
         if _name(a) == "abstractNum":  # looked up by numId, as the data model has it
             formats = [_get(f, "val") for f in a.iter() if _name(f) == "numFmt"]
             bullets[_get(a, "abstractNumId")] = formats[-1] if formats else "decimal"
