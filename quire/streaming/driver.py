@@ -13,7 +13,7 @@ from ..sources import books as R
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def convert_stream(spark: SparkSession, source: str, target: str, fmt: str, checkpoint: str, options: Options | None = None, files_per_batch: int = 1000, once: bool = False) -> StreamingQuery:
+def convert_stream(spark: SparkSession, source: str, target: str, fmt: str, checkpoint: str, options: Options | None = None, stages: list[tuple[str, C.Stage]] | None = None, files_per_batch: int = 1000, once: bool = False) -> StreamingQuery:
     """Converts files that appear in ``source`` into rows of a Parquet table at ``target``
     (book_id, stem, data, error, in a folder for each batch, so that a batch that is run again
     after a failure replaces what it wrote). A batch is parsed once, into ``checkpoint``."""
@@ -23,7 +23,7 @@ def convert_stream(spark: SparkSession, source: str, target: str, fmt: str, chec
         parsed = f"{checkpoint}/parsed/batch={number}"
         R.read_books(files).write.mode("overwrite").parquet(parsed)
         raw = rows.sparkSession.read.parquet(parsed)
-        C.convert(R.tables(raw), fmt, options).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        C.convert(R.tables(raw), fmt, options, stages).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     files = spark.readStream.format("binaryFile").schema(_FILES).option("maxFilesPerTrigger", files_per_batch).load(source)
     out = files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream")
