@@ -15,7 +15,10 @@ from ..functions import text as X
 from ..operators import pdf_pages as P
 from ..operators import sinks as O
 from ..operators import transforms as T
+from ..sources import books as B
+from ..sources import markup as M
 from ..sources import readers as R
+from . import convert as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -350,3 +353,99 @@ def para_group(spark, sf_dir):
     f = _fragments(spark, sf_dir).withColumn("page_id", F.col("book_id")).withColumn("k", F.col("seq"))
     top = (F.col("k") * 12.0 + F.when(F.expr(_GRID) % 5 == 0, 9.0).otherwise(0.0)).cast("double")
     return P.group_paragraphs(f.select("book_id", "number", F.col("k").cast("int").alias("line"), top.alias("top"), "height", "text"))
+
+
+def _files(df: DataFrame, path: str, data) -> DataFrame:
+    return df.select("book_id", F.lit(path).alias("path"), data.cast("binary").alias("data"))
+
+
+def _content(books: DataFrame) -> DataFrame:
+    """The one document of each book that was read, hashed."""
+    text = F.try_element_at(F.filter("items", lambda i: i["id"] == "content"), F.lit(1))["text"]
+    return books.select("book_id", F.md5(text).alias("doc_md5"), F.size("toc").alias("n_toc"), "error")
+
+
+_DOC = _HEAD + """ || {title} || '</title>' || chr(10) || '  <link rel="stylesheet" type="text/css" href="style.css"/>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || {body} || chr(10) || '</body>' || chr(10) || '</html>'"""
+_CLEAN = "regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E\\n]', '', 'g')"
+
+
+@query(f"""
+        WITH d AS (SELECT doc_id, {_CLEAN} AS t FROM documents)
+        SELECT doc_id AS book_id, md5({_DOC.format(title="'T' || doc_id", body="'<p>' || " + _ESC.format('t') + " || '</p>'")}) AS doc_md5, CAST(1 AS INTEGER) AS n_toc, CAST(NULL AS VARCHAR) AS error FROM d""")
+def fb2_read(spark, sf_dir):
+    """Documents (printable ASCII and line feeds) as FB2 books, and read."""
+    t = X.escape_text(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20-\\x7E\\n]", ""))
+    d = _read(spark, sf_dir, "documents").withColumn("book_id", F.col("doc_id"))
+    book = F.concat(F.lit("<FictionBook><description><title-info><book-title>T"), F.col("doc_id").cast("string"), F.lit("</book-title></title-info></description><body><section><p>"), t, F.lit("</p></section></body></FictionBook>"))
+    return _content(B.read_books(_files(d, "x.fb2", book)))
+
+
+@query(f"""
+        WITH d AS (SELECT doc_id, list_filter(string_split({_CLEAN}, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
+        SELECT doc_id AS book_id, md5({_DOC.format(title="'x'", body="array_to_string(list_transform(ls, lambda x: '<p>' || " + _ESC.format('x') + " || '</p>' || chr(10)), '')")}) AS doc_md5, CAST(1 AS INTEGER) AS n_toc, CAST(NULL AS VARCHAR) AS error FROM d""")
+def rtf_read(spark, sf_dir):
+    """Documents (printable ASCII) as RTF, a paragraph for each line, and read."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20-\\x7E\\n]", "")
+    t = F.replace(F.regexp_replace(t, r"([\\\\{}])", r"\\\\$1"), F.lit("\n"), F.lit("\\par "))
+    d = _read(spark, sf_dir, "documents").withColumn("book_id", F.col("doc_id"))
+    return _content(B.read_books(_files(d, "x.rtf", F.concat(F.lit("{\\rtf1\\ansi "), t, F.lit("}")))))
+
+
+@query(rf"""
+        WITH h AS (SELECT page_id, regexp_replace({_BODY.format('html')}, '(?i)</?(!DOCTYPE|html|head|meta|link|title|xml)[^>]*>', '', 'g') AS t FROM pages),
+        b AS (SELECT page_id, regexp_replace(chr(10) || t || chr(10), '<a\s+[^>]*>\s*</a>', '', 'g') AS t FROM h)
+        SELECT page_id AS book_id, md5({_DOC.format(title="'T' || page_id", body="t")}) AS doc_md5, CAST(NULL AS VARCHAR) AS error FROM b""")
+def mobi_round_trip(spark, sf_dir):
+    """Pages written as MOBI files and read again."""
+    p = _pages(spark, sf_dir).withColumn("data", F.lit(None).cast("binary"))
+    none = F.array().cast("array<struct<term:string,value:string>>")
+    books = p.select("book_id", F.lit("x").alias("stem"), none.alias("metadata"), F.concat(F.lit("T"), F.col("book_id").cast("string")).alias("title"), F.lit("en").alias("language"), F.lit(None).cast("string").alias("error"))
+    spine = p.select("book_id", F.lit(0).alias("pos"), F.col("id").alias("idref"))
+    files = C.write_mobi(B.Books(books, p, spine, p, p))
+    return _content(B.read_books(_files(files, "x.mobi", F.col("data")))).drop("n_toc")
+
+
+def _shelf(spark, sf_dir) -> B.Books:
+    """Ten pages are one book; its contents name each page's first chapter title."""
+    p = _read(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 10).cast("long").alias("book_id"), (F.col("page_id") % 10).cast("int").alias("pos"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), _deep(F.col("html")).alias("text"))
+    m = p.select("book_id", "pos", "id", F.concat("id", F.lit(".xhtml")).alias("href"), F.lit("application/xhtml+xml").alias("media_type"), "text", F.lit(None).cast("binary").alias("data"))
+    title = T.chunk_title(F.col("text"))
+    toc = m.select("book_id", (F.col("pos") + 1).alias("play_order"), title.alias("title"), "href")
+    books = m.select("book_id").distinct().withColumn("next_id", F.lit(1))
+    return B.Books(books, m, m.select("book_id", "pos", F.col("id").alias("idref"), F.lit(True).alias("linear")), toc, toc)
+
+
+_SHELF_SQL = (
+    "WITH s AS (" + ORACLES["split_chapters"] + """),
+        n AS (SELECT page_id, page_id // 10 AS book_id, chunk, title,
+                CAST(row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id, chunk) - 1 AS INTEGER) AS pos,
+                sum(CASE WHEN chunk > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id // 10 ORDER BY page_id, chunk) AS k, was_split FROM s)
+        """
+)
+
+
+@query(_SHELF_SQL + "SELECT book_id, pos, 'p' || page_id || CASE WHEN chunk > 0 THEN '_ch' || CAST(k AS BIGINT) ELSE '' END AS idref FROM n")
+def spine_renumber(spark, sf_dir):
+    """The spine of books of ten pages after their long documents are split."""
+    return C.split_chapters(_shelf(spark, sf_dir)).spine.select("book_id", "pos", "idref")
+
+
+@query(_SHELF_SQL + rf""", t AS (SELECT page_id, {_TRIM.format("regexp_replace(regexp_extract(h, '(?is)<h[12][^>]*>(.*?)</h[12]>', 1), '<[^>]+>', '', 'g')")} AS title FROM (SELECT page_id, {_DEEP} AS h FROM pages)),
+        f AS (SELECT page_id, title, min(chunk) AS chunk FROM n WHERE was_split GROUP BY ALL)
+        SELECT t.page_id // 10 AS book_id, CAST(t.page_id % 10 + 1 AS INTEGER) AS play_order, t.title, 'p' || t.page_id || CASE WHEN f.chunk > 0 THEN '_ch' || f.chunk ELSE '' END || '.xhtml' AS href
+        FROM t LEFT JOIN f ON f.page_id = t.page_id AND f.title = t.title""")
+def toc_relink(spark, sf_dir):
+    """Contents of the same books: an entry goes to the first chapter of its title."""
+    return C.split_chapters(_shelf(spark, sf_dir)).toc.select("book_id", "play_order", "title", "href")
+
+
+_XML_LINES = "regexp_replace({}, '[^A-Za-z0-9 ]', '', 'g')"
+
+
+@query(f"SELECT page_id AS book_id, CAST(1 + k AS INTEGER) AS number, CAST(0 AS BIGINT) AS seq, CAST(10 * k AS DOUBLE) AS top, CAST(5 AS DOUBLE) AS \"left\", 'f' || k AS font_id, 'a ' || {_XML_LINES.format('url')} AS text FROM pages, generate_series(0, 2) s(k)")
+def page_xml_read(spark, sf_dir):
+    """Three pages of extracted text for each address, and read."""
+    word = F.regexp_replace("url", "[^A-Za-z0-9 ]", "")
+    one = [F.concat(F.lit(f'<page number="{k + 1}"><text top="{10 * k}" left="5" font="f{k}">a <b>'), word, F.lit("</b></text></page>")) for k in range(3)]
+    p = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("book_id"), F.concat(F.lit("<pdf2xml>"), *one, F.lit("</pdf2xml>")).alias("x"))
+    return M.pdf_texts(p, "x").select("book_id", "number", "seq", "top", "left", "font_id", "text")
