@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each over all that its predecessor kept.
 
-Language ID drops documents that no language can be told of; SimHash near-dedup keeps one
+Language ID drops documents that no language can be told of and labels the others; SimHash near-dedup keeps one
 document of each group; substring dedup takes out passages that occur earlier; personal data
 is replaced by its kind; best-fit packing assigns the pieces of all documents to sequences.
 """
@@ -22,12 +22,13 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that can be told; null texts and texts without a letter go."""
-    model = langid.fit(docs)
-    others = [c for c in COLUMNS if c != "text"]
+    """Documents with a language that can be told, and in ``lang`` that language, whatever they
+    declare. Null texts, texts without a letter and texts that suit no learned language go."""
+    model = langid.fit(docs, kind=langid.StrictModel)
+    others = [c for c in COLUMNS if c not in ("text", "lang")]
     kept = docs.select(*others, F.col("text").alias("__text"), F.col("text"))
     found = langid.predict(kept, model, keep=[*others, "__text"])
-    return found.where(F.col("lang_pred") != langid.UND).select(*others, F.col("__text").alias("text")).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != langid.UND).select(*others, F.col("__text").alias("text"), F.col("lang_pred").alias("lang")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

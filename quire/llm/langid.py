@@ -29,6 +29,9 @@ UND = "und"
 BITS = 14
 #: Bounds of the sample: rows learned from for each label on average, and in all.
 PER_LANG, MAX_ROWS = 300, 2400
+#: Of ``StrictModel``: the least fit of a text (nats a trigram), the share of trigrams taken as
+#: spread evenly, the slot of trigrams without a letter, what each of them adds to the sum, and the rows of a label that is checked.
+MIN_FIT, UNSEEN, NO_LETTER, NO_LETTER_FIT, FEW_ROWS = 0.5, 0.05, 0, -1.0, 5
 
 #: Language codes of each family.
 FAMILIES = {
@@ -149,10 +152,14 @@ class LanguageModel:
         for c in range(len(self.columns)):
             margin[:, c] = np.add.reduceat(self.weights[:, c][h], starts, dtype=np.float64) / count
         chance = 1 / (1 + np.exp(-np.clip(margin * self.slopes, -60, 60)))
-        for r, i in enumerate(rows):
-            out[i] = self._decide(margin[r], chance[r])
+        found = self._checked([self._decide(margin[r], chance[r]) for r in range(len(rows))], h, starts, count)
+        for i, got in zip(rows, found):
+            out[i] = got
         return out
 
+    def _checked(self, found: list[tuple[str, float]], h: np.ndarray, starts: np.ndarray, count: np.ndarray) -> list[tuple[str, float]]:
+        return found
+
     def _decide(self, margin: np.ndarray, chance: np.ndarray) -> tuple[str, float]:
         of_family = [c for c, what in enumerate(self.columns) if what[0] == "f"]
         if not of_family:
@@ -178,26 +185,79 @@ class LanguageModel:
         return lang, float(min(1.0, max(0.0, sure * least[lang])))
 
 
+class StrictModel(LanguageModel):
+    """A model that also rejects: a text whose trigrams are in no learned language ``MIN_FIT``
+    likelier than by chance, on average, is ``und`` with score 0. The margins only tell the
+    learned languages from each other, and are as wide for junk as for a short clean text; and
+    a clean text that they take for another language has to stay.
+
+    A row whose trigrams suit another label's rows better than those of its own is not learned
+    from: the machines would learn a wrong label by heart. Labels of few rows are left alone."""
+
+    def __init__(self, texts: list[str], langs: list[str]):
+        table = _code_table()
+        shares = [self._shares(t, table) for t in texts]
+        names = sorted(set(langs))
+        total = {v: np.zeros(1 << BITS) for v in names}
+        size = dict.fromkeys(names, 0)
+        for (at, share), lang in zip(shares, langs):
+            total[lang][at] += share
+            size[lang] += 1
+
+        def suits(at, share, own):
+            # the row itself is left out, or it would vouch for its label
+            return max(names, key=lambda v: share @ self._log((total[v][at] - share * (v == own)) / max(1, size[v] - (v == own))))
+
+        good = [size[v] < FEW_ROWS or suits(*s, v) == v for s, v in zip(shares, langs)]
+        for (at, share), lang, g in zip(shares, langs, good):
+            if not g:
+                total[lang][at] -= share
+                size[lang] -= 1
+        super().__init__([t for t, g in zip(texts, good) if g], [v for v, g in zip(langs, good) if g])
+        self.logs = np.zeros((len(self.langs), 1 << BITS), np.float32)
+        for k, v in enumerate(self.langs):
+            self.logs[k] = self._log(np.maximum(0, total[v]) / size[v])
+        self.logs[:, NO_LETTER] = NO_LETTER_FIT
+
+    @staticmethod
+    def _shares(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of a text's trigrams with a letter, and the share of each."""
+        at, n = np.unique(trigram_codes([text], table)[0], return_counts=True)
+        at, n = at[at != NO_LETTER], n[at != NO_LETTER]
+        return at, n / max(1, n.sum())
+
+    @staticmethod
+    def _log(share: np.ndarray) -> np.ndarray:
+        return np.log((1 - UNSEEN) * np.maximum(0, share) * (1 << BITS) + UNSEEN)
+
+    def fits(self, h: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Mean log ratio of each text's trigrams, in the language that suits it best, to chance."""
+        return np.max([np.add.reduceat(row[h], starts, dtype=np.float64) for row in self.logs], axis=0) / count
+
+    def _checked(self, found, h, starts, count):
+        return [f if good else (UND, 0.0) for f, good in zip(found, (self.fits(h, starts, count) >= MIN_FIT).tolist())]
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is never learned from: crc32 of its id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> LanguageModel:
+def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, kind: type[LanguageModel] = LanguageModel) -> LanguageModel:
     """Learn from rows that are not held out and have an id, a text and a label. Two passes:
     label counts (no text is read), then a sample by a hash of the id, thinned so that each
     label has ``per_lang`` rows on average. The sample is all that the driver receives."""
     rows = df.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     count = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not count:
-        return LanguageModel([], [])
+        return kind([], [])
     each = min(per_lang, max(1, MAX_ROWS // len(count)))
     share = F.create_map(*[F.lit(v) for lang, n in count.items() for v in (lang, min(1.0, each / n))])
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(F.col(text_col).isNotNull() & (draw < share[F.col(lang_col)]))
     got = sample.select(F.col(id_col), F.col(text_col), F.col(lang_col)).limit(2 * MAX_ROWS).collect()
     got = sorted(r for r in got if _letter(r[1]))
-    return LanguageModel([r[1] for r in got], [r[2] for r in got])
+    return kind([r[1] for r in got], [r[2] for r in got])
 
 
 def predict(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
