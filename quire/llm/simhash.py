@@ -206,9 +206,10 @@ def links(nodes: DataFrame) -> DataFrame:
     return found
 
 
-def groups(prints: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+def groups(prints: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """``fp``, ``component_id`` for every distinct fingerprint of ``prints`` (id, fp): the
-    smallest id reachable over links."""
+    smallest id reachable over links. ``keep``: ``component`` adds the component itself, which
+    is never null (one of its fingerprints)."""
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
     # fingerprints of rows without id still connect others, so the nodes are the fingerprints
     comp = connected_components(links(nodes).select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -216,7 +217,7 @@ def groups(prints: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     joined = joined.select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     joined = materialize(joined, "members")
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return materialize(joined.join(least, "component").select("fp", "component_id"), "classes")
+    return materialize(joined.join(least, "component").select("fp", "component_id", *keep), "classes")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -232,10 +233,10 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     within the component, one stays. Rows with a null id stay only if no other row is in reach."""
     tagged = df.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("__text", F.xxhash64(text_col))
     prints = materialize(fingerprint_column(tagged, text_col=text_col, words=words, keep=[id_col, "__id", "__text"]), "prints")
-    classes = groups(prints, id_col=id_col)
+    classes = groups(prints, id_col=id_col, keep=("component",))
     # one (id, text) for each component; its copies are folded before they are shuffled
     best = prints.join(classes, "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    best = best.groupBy("component_id", "__id").agg(F.min("__text").alias("__text")).select("__id", "__text")
+    best = best.groupBy("component", "__id").agg(F.min("__text").alias("__text")).select("__id", "__text")
     kept = tagged.join(best, ["__id", "__text"])
-    # a null id can be best in several components; what repeats id and text is one row
+    # one id can be best in several components; what repeats id and text is one row
     return kept.dropDuplicates(["__id", "__text"]).select(*df.columns)

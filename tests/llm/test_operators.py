@@ -328,6 +328,14 @@ def test_keep_one(docs):
     assert 8 in ids and 9 not in ids and 0 in ids and 1 not in ids and 2 not in ids
 
 
+def test_keep_one_of_each_component(spark):
+    """Unlike rows without an id, or of one id, are components of their own, and each keeps one."""
+    base = [" ".join(f"{k}w{random.Random(k).randrange(10**6)}x{j}" for j in range(60)) for k in range(4)]
+    table = [(None, base[0]), (None, base[1]), (None, base[1]), (7, base[2]), (7, base[3]), (9, base[3]), (7, base[2])]
+    got = simhash.keep_one(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, base[0]), (0, base[1]), (7, base[2]), (7, base[3])])
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(500, 500)]
