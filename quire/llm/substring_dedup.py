@@ -19,7 +19,7 @@ one row for each chunk, not for each document.
 Defined cases: null, empty and blank texts have no words; texts of fewer than ``WINDOW`` words
 have no window; rows that repeat a doc_id with the same text are one document, each returned
 alike; rows that repeat a doc_id with another text are judged as documents of their own, at
-the same place in the order; a null id comes before all others; an empty table gives an empty
+the same place in the order, told apart by 64 bits of hash; a null id comes before all others; an empty table gives an empty
 table; other columns are not touched.
 """
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._cache import Memo
@@ -43,6 +43,8 @@ WINDOW, ANCHOR = 20, 10
 CELLS, MIN_BITS, MAX_BITS = 4, 16, 30
 #: Bits of a cell number within one range of a sketch row.
 RANGE_BITS = 18
+#: Bits of a slot number of ids; at most this many slots are broadcast.
+SLOT_BITS = 18
 #: Characters of text whose windows are judged at one time in the second pass.
 PASS_CHARS = 1 << 20
 
@@ -227,28 +229,24 @@ def _packed(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return edge, pa.Array.from_buffers(pa.large_binary(), len(edge), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), data]).cast(pa.binary())
 
 
-def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(df: DataFrame, shared: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``__id``, ``__text`` (the document's key) and ``start``: the word at which a window
-    starts that also starts earlier; a row for each."""
+    starts that also starts earlier; a row for each. ``shared``: as ``shared_places``."""
     small_batches(df.sparkSession)
     # words have six bytes or so, and an anchor comes every sixth word
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, total / 36 * CELLS))), MIN_BITS, MAX_BITS))
     parts = [(r[0], bytes(r[1])) for r in sketch(df, text_col, bits).collect()]
     guess = df.sparkSession.sparkContext.broadcast(Estimate(bits, parts))
-    # the place packs start, and the text's 16 bits that tell rows of one id apart
-    out_schema = "h1 long, h2 int, __id long, place long, starts binary"
-    names = ["h1", "h2", "__id", "place", "starts"]
+    # the place packs start, and above it whether there is an id: rows without come first
+    out_schema = "h1 long, h2 int, __id long, place long, __text long, starts binary"
+    names = ["h1", "h2", "__id", "place", "__text", "starts"]
     done_names = ["__id", "__text", "start"]
-    lowest = np.int64(-(1 << 63))
-
-    def ids_of(column: pa.Array) -> np.ndarray:
-        return column.fill_null(int(lowest)).to_numpy(zero_copy_only=False)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            texts = batch.column(2)
+            texts = batch.column(3)
             for a, b in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()], PASS_CHARS):
                 h, count = hasher.words(texts.slice(a, b - a).to_pylist())
                 valid = _valid(count, len(h))
@@ -261,10 +259,9 @@ def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 begin = np.concatenate(([0], np.cumsum(count)[:-1]))
                 doc = np.repeat(np.arange(len(count)), count)[at]
                 start = at - begin[doc]
-                ids = ids_of(batch.column(0).slice(a, b - a))
-                text = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
-                # equal ids have equal ranks: rows of one document
-                rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+                ids, text, named = (batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                # equal ids have equal ranks: rows of one place in the order
+                rank = np.unique(ids, return_inverse=True)[1].astype(np.int64) * 2 + named
                 when = rank[doc] << 32 | start
                 order = np.lexsort((when, h2, h1))
                 o1, o2, ow = h1[order], h2[order], when[order]
@@ -273,58 +270,78 @@ def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 # the first of equal windows goes on, with rows at its very place; the others are repeats
                 known = later & (ow != ow[first])
                 send, got = order[~known], np.sort(order[known])
-                place = start[send] << 16 | text[doc[send]]
-                cols = [h1[send], h2[send], ids[doc[send]], place]
+                own = doc[send]
+                cols = [h1[send], h2[send], ids[own], named[own] << 32 | start[send], text[own]]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(send), pa.binary())], names=names)
                 if len(got):
                     edge, starts = _packed(doc[got], start[got])
                     own = doc[got][edge]
-                    cols = [ids[own] * 31 + text[own], np.zeros(len(own), np.int32), ids[own], text[own]]
+                    cols = [ids[own] * 31 + text[own], np.zeros(len(own), np.int32), ids[own], np.zeros(len(own), np.int64), text[own]]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, cols), starts], names=names)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come by window and place; all but the first place of a window are repeats
         last = None
         for batch in batches:
-            ready = batch.column(4).is_valid()
+            ready = batch.column(5).is_valid()
             whole = ready.to_numpy(zero_copy_only=False)
             if whole.any():
                 own = batch.filter(ready)
-                size = pa.compute.binary_length(own.column(4)).to_numpy() // 4
-                ids, text = (np.repeat(own.column(k).to_numpy(), size) for k in (2, 3))
-                start = np.frombuffer(b"".join(own.column(4).to_pylist()), "<i4")
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(text.astype(np.int32)), pa.array(start)], names=done_names)
+                size = pa.compute.binary_length(own.column(5)).to_numpy() // 4
+                ids, text = (np.repeat(own.column(k).to_numpy(), size) for k in (2, 4))
+                start = np.frombuffer(b"".join(own.column(5).to_pylist()), "<i4")
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(text), pa.array(start)], names=done_names)
             rows = np.flatnonzero(~whole)
             if not len(rows):
                 continue
-            h1, h2, ids, place = (batch.column(k).to_numpy(zero_copy_only=False)[rows] for k in range(4))
+            h1, h2, ids, place, text = (batch.column(k).to_numpy(zero_copy_only=False)[rows] for k in range(5))
             new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
             if last is not None and (h1[0], h2[0]) == last[:2]:
                 new[0] = False
             lead = np.maximum.accumulate(np.where(new, np.arange(len(rows)), -1))
-            start = place >> 16
-            f_id, f_start = ids[np.maximum(lead, 0)], start[np.maximum(lead, 0)]
+            f_id, f_place = ids[np.maximum(lead, 0)], place[np.maximum(lead, 0)]
             if last is not None:
-                f_id, f_start = np.where(lead < 0, last[2], f_id), np.where(lead < 0, last[3], f_start)
-            last = (h1[-1], h2[-1], f_id[-1], f_start[-1])
-            got = (ids != f_id) | (start != f_start)
+                f_id, f_place = np.where(lead < 0, last[2], f_id), np.where(lead < 0, last[3], f_place)
+            last = (h1[-1], h2[-1], f_id[-1], f_place[-1])
+            got = (ids != f_id) | (place != f_place)
             if got.any():
-                cols = [ids[got], (place[got] & 0xFFFF).astype(np.int32), start[got].astype(np.int32)]
+                cols = [ids[got], text[got], (place[got] & 0xFFFFFFFF).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=done_names)
 
     import pyarrow.compute  # noqa: F401  (pa.compute)
 
-    keyed = _keyed(df, id_col, text_col).select("__id", "__text", text_col)
+    keyed = _keyed(df, id_col, text_col, shared).select("__id", "__text", F.col(id_col).isNotNull().cast("long").alias("__named"), F.col(text_col))
     sent = keyed.mapInArrow(windows, out_schema)
     sent = sent.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "__id", "place")
-    return sent.mapInArrow(later, "__id long, __text int, start int")
+    return sent.mapInArrow(later, "__id long, __text long, start int")
+
+
+def _place(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+
+
+def _whole(id_col: str, text_col: str) -> Column:
+    """All 64 bits that tell rows of one place apart: of the text, and whether there is an id."""
+    return F.xxhash64(F.col(text_col), F.col(id_col).isNull())
+
+
+def _slot(place: Column) -> Column:
+    return F.pmod(F.xxhash64(place), F.lit(1 << SLOT_BITS))
+
+
+def shared_places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``__slot``: slots of the ids that stand on unlike rows. Other ids may fall into them too."""
+    key = _whole(id_col, text_col)
+    rows = df.groupBy(_place(id_col).alias("place")).agg(F.min(key).alias("a"), F.max(key).alias("b"))
+    return materialize(rows.where("a <> b").select(_slot(F.col("place")).alias("__slot")).distinct(), "slots")
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with the place of a document in the order (no id: before all others), and 16 bits
-    of its text that tell rows of one id apart."""
-    place = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    return df.withColumn("__id", place).withColumn("__text", F.pmod(F.xxhash64(text_col), F.lit(1 << 16)).cast("int"))
+def _keyed(df: DataFrame, id_col: str, text_col: str, shared: DataFrame) -> DataFrame:
+    """``df`` with the place of a document in the order (no id: before all others), and what tells
+    rows of one id apart: 64 bits, or 0 for an id that needs none, to keep the shuffle small."""
+    slots = F.broadcast(shared.withColumn("__shared", F.lit(True)))
+    tagged = df.withColumn("__id", _place(id_col)).withColumn("__slot", _slot(F.col("__id"))).join(slots, "__slot", "left")
+    return tagged.withColumn("__text", F.when(F.col("__shared"), _whole(id_col, text_col)).otherwise(F.lit(0)).cast("long")).drop("__slot", "__shared")
 
 
 def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
@@ -337,9 +354,10 @@ def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
 
 def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``df`` with ``__runs``: the starts of its repeated windows (null: none)."""
-    found = repeated_windows(df, id_col=id_col, text_col=text_col)
+    shared = shared_places(df, id_col, text_col)
+    found = repeated_windows(df, shared, id_col=id_col, text_col=text_col)
     runs = materialize(found.groupBy("__id", "__text").agg(F.collect_list("start").alias("__runs")), "runs")
-    return _keyed(df, id_col, text_col).join(runs, ["__id", "__text"], "left")
+    return _keyed(df, id_col, text_col, shared).join(runs, ["__id", "__text"], "left")
 
 
 def _map_judged(joined: DataFrame, keep: list[str], text_col: str, schema: str, fn) -> DataFrame:

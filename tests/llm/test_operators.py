@@ -442,6 +442,22 @@ def test_substring_sketch_never_loses(spark, monkeypatch):
     assert by_id(substring_dedup.dedup_digest(table), "n_words", "n_removed", "kept_sha256") == plain_dedup(docs)
 
 
+@pytest.mark.parametrize("doc_id", [5, None])
+def test_substrings_of_one_id_are_told_apart(spark, doc_id):
+    """Texts of one id whose hashes agree in 16 bits: only the one with the repeat loses it."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    first = -(1 << 63) if doc_id is None else 1
+    many = [passage + f" a{k} " + " ".join(f"a{k}x{j}" for j in range(30)) for k in range(400)] + [" ".join(f"b{k}x{j}" for j in range(60)) for k in range(400)]
+    low = [r[0] for r in spark.createDataFrame(list(enumerate(many)), "i int, t string").orderBy("i").select(F.expr("pmod(xxhash64(t), 65536)")).collect()]
+    with_it = {h: k for k, h in enumerate(low[:400])}
+    a, b = next((many[with_it[h]], many[400 + k]) for k, h in enumerate(low[400:]) if h in with_it)
+    # without an id a text comes before all others, so another one without must hold the passage twice
+    a = f"{passage} {a}" if doc_id is None else a
+    got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in substring_dedup.dedup_digest(spark.createDataFrame([(first, passage), (doc_id, a), (doc_id, b)], "doc_id long, text string")).collect()}
+    assert got[(doc_id, len(a.split()))] == 25 and got[(doc_id, 60)] == 0
+    assert got[(first, 25)] == (25 if doc_id is None else 0)
+
+
 def test_remove_repeats_keeps_white_space(spark):
     passage = " ".join(f"p{i}" for i in range(25))
     docs = [(1, f"first\n\n{passage} end"), (2, f"second\t{passage}\nlast  words"), (3, "untouched \n text")]
