@@ -193,14 +193,28 @@ def read_fb2(data: bytes, stem: str) -> dict:
     return book
 
 
+#: Marks that stay in the text of a PDF page.
+_PAGE_INLINE = ("b", "i", "a", "sup", "sub")
+
+
+def _page_inline(e: ET.Element) -> str:
+    """The inside of a text element with its marks; as in the reference, its text is not escaped."""
+    parts = [e.text or ""]
+    for c in e:
+        kind, inner = _name(c), _page_inline(c)
+        href = f' href="{B.attr(c.get("href"))}"' if kind == "a" and c.get("href") is not None else ""
+        parts += [f"<{kind}{href}>{inner}</{kind}>" if kind in _PAGE_INLINE else inner, c.tail or ""]
+    return "".join(parts)
+
+
 def page_rows(data: str) -> list[tuple]:
     """The text elements of extracted PDF pages: (number, seq, top, left, width, height,
-    font_id, text). Inner marks are dropped."""
+    font_id, text, inner_html). The text is without marks, the inner HTML has them."""
     rows = []
     for page in ET.fromstring(data).iter("page"):
         for seq, t in enumerate(page.iter("text")):
             at = [float(t.get(k, 0)) for k in ("top", "left", "width", "height")]
-            rows.append((int(page.get("number", 0)), seq, *at, t.get("font"), "".join(t.itertext())))
+            rows.append((int(page.get("number", 0)), seq, *at, t.get("font"), "".join(t.itertext()), _page_inline(t)))
     return rows
 
 
@@ -234,7 +248,7 @@ def fb2_books(df: DataFrame, col: str) -> DataFrame:
 
 def pdf_texts(df: DataFrame, col: str) -> DataFrame:
     """df: book_id and page XML. One row for each text element, as ``page_rows``."""
-    names = ["number", "seq", "top", "left", "width", "height", "font_id", "text"]
-    types = [pa.int32(), pa.int64(), *[pa.float64()] * 4, pa.string(), pa.string()]
-    schema = "number int, seq long, top double, left double, width double, height double, font_id string, text string"
+    names = ["number", "seq", "top", "left", "width", "height", "font_id", "text", "inner_html"]
+    types = [pa.int32(), pa.int64(), *[pa.float64()] * 4, *[pa.string()] * 3]
+    schema = "number int, seq long, top double, left double, width double, height double, font_id string, text string, inner_html string"
     return _parsed(df, col, schema, names, types, page_rows)

@@ -29,6 +29,13 @@ def test_page_xml(spark):
     assert (row["number"], row["top"], row["left"], row["font_id"], row["text"]) == (1, 10.0, 5.0, "0", "a b")
 
 
+def test_page_xml_marks(spark):
+    xml = '<pdf2xml><page number="1"><text top="1" left="1">Hello <b>world <i>it</i></b> x<sup>2</sup><sub>i</sub> <a href="p?a=1&amp;b=2">l</a> <u>u</u></text></page></pdf2xml>'
+    (row,) = M.pdf_texts(spark.createDataFrame([(1, xml)], "book_id int, x string"), "x").collect()
+    assert row["inner_html"] == 'Hello <b>world <i>it</i></b> x<sup>2</sup><sub>i</sub> <a href="p?a=1&amp;b=2">l</a> u'
+    assert row["text"] == "Hello world it x2i l u"
+
+
 def test_css(spark):
     css = "/* c */ p  {\n color : red;\n margin: 0 auto; }\n a::after { content: \"x ;  } y\" }"
     got = spark.range(1).select(T.minify_css(F.lit(css)).alias("x")).first()["x"]
