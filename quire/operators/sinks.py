@@ -60,11 +60,12 @@ def ncx(uid: Column, title: Column, toc: Column) -> Column:
     )
 
 
-def opf(uid: Column, title: Column, language: Column, authors: Column, manifest: Column, spine: Column, guide: Column) -> Column:
+def opf(uid: Column, title: Column, language: Column, authors: Column, manifest: Column, spine: Column, guide: Column, description: Column | None = None, publisher: Column | None = None, date: Column | None = None) -> Column:
     """The package file. manifest: structs (id, href, media_type); spine: (idref, linear);
     guide: (ref_type, title, href)."""
     attr = X.escape_attr
     item = lambda m: F.concat(F.lit('<item id="'), attr(m["id"]), F.lit('" href="'), attr(m["href"]), F.lit('" media-type="'), attr(m["media_type"]), F.lit('"/>\n'))
+    term = lambda t, v: F.lit("") if v is None else F.coalesce(F.concat(F.lit(f"<dc:{t}>"), X.escape_text(v), F.lit(f"</dc:{t}>\n")), F.lit(""))
     ref = lambda s: F.concat(F.lit('<itemref idref="'), attr(s["idref"]), F.when(s["linear"], '"/>\n').otherwise('" linear="no"/>\n'))
     mark = lambda g: F.concat(F.lit('<reference type="'), attr(g["ref_type"]), F.lit('" title="'), attr(g["title"]), F.lit('" href="'), attr(g["href"]), F.lit('"/>\n'))
     return F.concat(
@@ -76,6 +77,9 @@ def opf(uid: Column, title: Column, language: Column, authors: Column, manifest:
         X.escape_text(F.coalesce(uid, F.lit(NO_UID))),
         F.lit("</dc:identifier>\n"),
         joined(authors, lambda a: F.concat(F.lit('<dc:creator opf:role="aut">'), X.escape_text(a), F.lit("</dc:creator>\n"))),
+        term("description", description),
+        term("publisher", publisher),
+        term("date", date),
         F.lit('</metadata>\n<manifest>\n<item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>\n'),
         joined(manifest, item),
         F.lit('</manifest>\n<spine toc="ncx">\n'),

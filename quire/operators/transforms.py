@@ -124,11 +124,14 @@ def merge_metadata(books: DataFrame) -> DataFrame:
     return books.withColumns({"title": blank("title", F.lit("Untitled")), "language": blank("language", F.lit("en")), "uid": blank("uid", uid)})
 
 
-def jacket(title: Column, authors: Column, publisher: Column | None = None, date: Column | None = None, description: Column | None = None) -> Column:
+def jacket(title: Column, authors: Column, publisher: Column | None = None, date: Column | None = None, description: Column | None = None, series: Column | None = None, series_index: Column | None = None) -> Column:
     """The XHTML of a jacket page; blank fields are left out."""
     name = F.coalesce(F.when(X.trim(title) != "", title), F.lit("Unknown Title"))
     field = lambda klass, v: F.when(X.trim(v) != "", F.concat(F.lit(f'<p class="{klass}">'), X.escape_text(v), F.lit("</p>")))
     parts = [F.concat(F.lit('<h1 class="title">'), X.escape_text(name), F.lit("</h1>")), field("authors", F.array_join(authors, ", "))]
+    if series is not None:
+        number = F.lit(None).cast("string") if series_index is None else F.when(X.trim(series_index) != "", series_index)
+        parts.append(field("series", F.when(X.trim(series) != "", F.concat_ws(" #", series, number))))
     parts += [field(k, v) for k, v in (("publisher", publisher), ("date", date)) if v is not None]
     if description is not None:
         parts.append(F.when(X.trim(description) != "", F.concat(F.lit('<div class="description">'), description, F.lit("</div>"))))

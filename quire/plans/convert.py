@@ -101,7 +101,7 @@ def jacket(insert: bool, drop_image: bool) -> Stage:
         if insert:
             values = lambda t: F.transform(F.filter("metadata", lambda m: m["term"] == t), lambda m: m["value"])
             one = lambda t: F.try_element_at(values(t), F.lit(1))
-            page = T.jacket(F.col("title"), F.coalesce(values("creator"), F.array().cast("array<string>")), one("publisher"), one("date"), one("description"))
+            page = T.jacket(F.col("title"), F.coalesce(values("creator"), F.array().cast("array<string>")), one("publisher"), one("date"), one("description"), one("series"), one("series_index"))
             new_id = F.concat(F.lit("jacket"), F.col("next_id").cast("string"))
             readable = books.where("error is null")
             new = readable.select("book_id", F.lit(0).alias("k"), new_id.alias("id"), F.lit("jacket.xhtml").alias("href"), F.lit("application/xhtml+xml").alias("media_type"), page.alias("text"), F.lit(None).cast("binary").alias("data"))
@@ -293,7 +293,9 @@ def write_epub(b: Books) -> DataFrame:
         "toc": "array<struct<play_order:int,title:string,href:string>>", "guide": "array<struct<pos:int,ref_type:string,title:string,href:string>>",
     }
     full = {c: F.coalesce(F.col(c).cast(t), F.array().cast(t)) for c, t in empty.items()}
-    package = rows.select("book_id", sinks.opf(F.col("uid"), F.col("title"), F.col("language"), _authors(), full["items"], full["spine"], full["guide"]).alias("opf"), sinks.ncx(F.col("uid"), F.col("title"), full["toc"]).alias("ncx"))
+    one = lambda t: F.try_element_at(F.filter("metadata", lambda m: m["term"] == t), F.lit(1))["value"]
+    more = (one("description"), one("publisher"), one("date"))
+    package = rows.select("book_id", sinks.opf(F.col("uid"), F.col("title"), F.col("language"), _authors(), full["items"], full["spine"], full["guide"], *more).alias("opf"), sinks.ncx(F.col("uid"), F.col("title"), full["toc"]).alias("ncx"))
     return sinks.epub_files(package, b.manifest)
 
 

@@ -51,6 +51,8 @@ def read_epub(data: bytes, stem: str) -> dict:
     terms = B.Terms()
     for term, value in raw["metadata"]:
         (terms.add if term not in ("title", "language", "description", "publisher", "date", "rights") else terms.put)(term, value)
+    if raw["uid"]:
+        terms.put("uid", raw["uid"])
     items = []
     for i, href, media, payload in raw["manifest"]:
         textual = media is not None and (media.startswith("text/") or media.endswith("xml"))
@@ -139,7 +141,7 @@ def tables(raw: DataFrame) -> Books:
     """The tables of what ``read_books`` returned. Write ``raw`` first where parsing is costly:
     each table reads it once, with only the columns that it needs."""
     value = lambda t: F.try_element_at(F.filter("metadata", lambda m: m["term"] == t), F.lit(1))["value"]
-    books = raw.select("book_id", "path", "stem", "metadata", F.coalesce(value("title"), F.translate("stem", "_-", "  ")).alias("title"), value("language").alias("language"), value("identifier").alias("uid"), F.lit(1).alias("next_id"), "error")
+    books = raw.select("book_id", "path", "stem", "metadata", F.coalesce(value("title"), F.translate("stem", "_-", "  ")).alias("title"), value("language").alias("language"), F.coalesce(value("uid"), value("identifier")).alias("uid"), F.lit(1).alias("next_id"), "error")
     rows = lambda c, pos="pos": raw.select("book_id", F.posexplode(c).alias(pos, "r")).select("book_id", pos, "r.*")
     toc = rows("toc", "play_order").withColumn("play_order", F.col("play_order") + 1)
     return Books(books, rows("items"), rows("spine"), toc, rows("guide"))

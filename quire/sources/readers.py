@@ -44,12 +44,16 @@ def read_epub(data: bytes) -> dict:
     names = set(z.namelist())
     root = next(e.get("full-path") for e in ET.fromstring(z.read("META-INF/container.xml")).iter() if _local(e.tag) == "rootfile")
     base = root.rsplit("/", 1)[0] + "/" if "/" in root else ""
-    out: dict = {"metadata": [], "manifest": [], "spine": [], "toc": [], "guide": []}
+    out: dict = {"metadata": [], "manifest": [], "spine": [], "toc": [], "guide": [], "uid": None}
     toc_id = None
     for e in ET.fromstring(z.read(root)).iter():
         kind = _local(e.tag)
         if "purl.org/dc" in e.tag and e.text:
             out["metadata"].append((kind, e.text.strip()))
+            if kind == "identifier" and e.get("id") == "bookid":
+                out["uid"] = e.text.strip()
+        elif kind in ("series", "series_index") and e.text:
+            out["metadata"].append((kind, e.text.strip()))
         elif kind == "item":
             name = base + (e.get("href") or "")
             out["manifest"].append((e.get("id"), e.get("href"), e.get("media-type"), z.read(name) if name in names else None))

@@ -178,3 +178,17 @@ def test_stream(spark, tmp_path):
     assert run()
     got = {r["stem"]: bytes(r["data"]).decode() for r in spark.read.parquet(str(tmp_path / "t")).collect()}
     assert got == {"a": "a\n=\n\none", "b": "b\n=\n\ntwo"}
+
+
+def test_package_terms_series_and_bookid(spark):
+    opf = """<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>T</dc:title>
+      <dc:identifier>isbn</dc:identifier><dc:identifier id="bookid">own</dc:identifier><dc:description>a &lt; b</dc:description><dc:publisher>P</dc:publisher><dc:date>2001</dc:date><series>S</series><series_index>2</series_index></metadata>
+      <manifest><item id="c" href="c.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="c"/></spine></package>"""
+    data = zipped(**{"META-INF/container.xml": '<c><rootfile full-path="content.opf"/></c>', "content.opf": opf, "c.xhtml": "<html><body><p>x</p></body></html>"})
+    b = R.tables(R.read_books(spark.createDataFrame([(1, "x.epub", data)], "book_id long, path string, data binary")))
+    assert [r["uid"] for r in b.books.collect()] == ["own"]
+    back = zipfile.ZipFile(io.BytesIO(bytes(C.write_epub(b).first()["data"]))).read("OEBPS/content.opf").decode()
+    assert '<dc:identifier id="bookid">own</dc:identifier>' in back
+    assert "<dc:description>a &lt; b</dc:description>\n<dc:publisher>P</dc:publisher>\n<dc:date>2001</dc:date>\n</metadata>" in back
+    page = C.jacket(True, False)(b).manifest.where("href = 'jacket.xhtml'").first()["text"]
+    assert '<p class="series">S #2</p>' in page
