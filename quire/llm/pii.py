@@ -6,17 +6,20 @@ nature): neighbours in the text share transition potentials, and distant tokens
 each other (same digits, same letters) or are similar (same last seven digits, same mail
 domain) share skip potentials, so that what is certain at one place carries to the others.
 Base spans are evidence, clamped to their label. Loopy sum-product message passing runs over
-all documents of a chunk at once; a token is added when its marginal reaches ``SURE``.
+all documents of a chunk at once, each document until its messages stand still; a token is
+added when its marginal reaches ``SURE``.
 
-A repeated token is linked to its previous occurrence only, so edges grow with the tokens.
+All mentions of one key hang on one hub, a hidden label of their own, so edges grow with the
+tokens and a certainty is two links from every other mention, however many there are. A hub
+whose certain mentions agree is certain itself.
 
 Learning: the potentials are fitted by pseudo-likelihood on ``TRAIN_DOCS`` labelled documents
 that a fixed grammar writes (numbers, addresses, cards and mail in several notations, some
 repeated in short form, among dates, prices, versions and order numbers). No row of the
 corpus is learned from, so predictions do not change with the input.
 
-Defined cases: null and empty texts have no spans; very long texts are whole; an added span
-never overlaps a base span; repeated rows give equal results; an empty table gives an empty
+Defined cases: null and empty texts have no spans; very long texts and tokens are read whole, in
+time that grows with their length; an added span never overlaps a base span; repeated rows give equal results; an empty table gives an empty
 table; columns other than those named are not touched.
 """
 
@@ -26,6 +29,9 @@ import functools
 import hashlib
 import random
 import re
+from array import array
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,8 +44,10 @@ LABELS = ("O", *KINDS)
 TRAIN_DOCS = 500
 #: The least marginal of an added token.
 SURE = 0.9
-#: Rounds of message passing: how far a certainty travels.
-ROUNDS = 8
+#: A document's messages stand still when none moves by more than this.
+STILL = 1e-4
+#: Rounds after which messages that do not settle are taken as they are.
+MOST_ROUNDS = 2000
 _CHAIN, _SAME, _LIKE = 0, 1, 2
 
 _any = re.compile(r"[0-9@]").search
@@ -91,15 +99,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+_letters, _wide, _digits = re.compile("[A-Za-z]+"), re.compile("[^\x00-\x7f]+"), re.compile("[0-9]+")
+_no_digit = re.compile("[^0-9]+")
+_EDGES = ".,;:!?\"'()[]<>"
+
+
 def _shape(token: str) -> str:
-    s = re.sub("[0-9]", "9", re.sub("[A-Za-z]+", "a", token[:80]))
-    return re.sub("[^\x00-\x7f]+", "u", s)[:24]
+    """The whole token with its runs of letters and of digits named, digits with their number."""
+    return _digits.sub(lambda m: f"9{m.end() - m.start()}", _wide.sub("u", _letters.sub("a", token)))
 
 
 def features(token: str, before: str | None, after: str | None) -> list[str]:
     """Names of the features of a token; ``before`` and ``after`` are the neighbouring words."""
-    digits = "".join(_digit.findall(token[:80]))
-    core = token[:80].strip(".,;:!?\"'()[]<>")
+    digits = _no_digit.sub("", token)
+    core = token.strip(_EDGES)
     n = len(digits)
     out = [
         "s=" + _shape(token),
@@ -109,7 +122,7 @@ def features(token: str, before: str | None, after: str | None) -> list[str]:
         f"dots={min(core.count('.'), 4)}",
         f"dash={min(core.count('-'), 3)}",
         f"plus={token[0] == '+'}",
-        f"alpha={any(c.isalpha() for c in core)}",
+        f"alpha={any(map(str.isalpha, core))}",
         f"only={core.replace('-', '').replace('.', '').isdigit()}",
     ]
     if 13 <= n <= 19:
@@ -124,9 +137,9 @@ def features(token: str, before: str | None, after: str | None) -> list[str]:
 
 def _keys(token: str) -> list[tuple[int, str]]:
     """What a token is linked by: (edge type, key)."""
-    digits = "".join(_digit.findall(token[:200]))
+    digits = _no_digit.sub("", token)
     out = []
-    core = token[:200].lower().strip(".,;:!?\"'()[]<>")
+    core = token.lower().strip(_EDGES)
     if "@" in core:
         out += [(_SAME, core), (_LIKE, core.rsplit("@", 1)[1])]
     elif len(digits) >= 5:
@@ -137,38 +150,61 @@ def _keys(token: str) -> list[tuple[int, str]]:
 
 
 class Graph:
-    """The tokens of several documents with their features and edges."""
+    """The tokens of several documents with their features, their edges and the hubs of keys that
+    a document repeats. With an ``index`` of feature names only the known ones are held."""
 
-    def __init__(self):
+    def __init__(self, index: dict[str, int] | None = None):
+        self.index = index
         self.feats: list[list[str]] = []
+        self.rows, self.cols = array("i"), array("i")
         self.span: list[tuple[int, int, int]] = []  # document, start, end
-        self.left: list[int] = []
-        self.right: list[int] = []
-        self.kind: list[int] = []
+        self.left, self.right = array("i"), array("i")  # neighbours
+        self.hub_doc = array("i")
+        self.hub, self.member, self.kind = array("i"), array("i"), array("b")  # a hub's links
 
     def add(self, doc: int, text: str) -> None:
-        words = [(m.start(), m.end()) for m in _word.finditer(text)]
-        last: dict[tuple[int, str], int] = {}
+        mentions: dict[tuple[int, str], list[int]] = {}
         previous = None  # the last token's word number and node
-        for k, (a, b) in enumerate(words):
-            token = text[a:b]
-            if not _any(token):
+        before, now, k = None, None, -1
+        words = ((m.start(), m.end()) for m in _word.finditer(text))
+        here = next(words, None)
+        while here:
+            following = next(words, None)
+            a, b = here
+            before, now, k = now, text[a:b], k + 1
+            here = following
+            if not _any(now):
                 continue
             node = len(self.span)
-            before = text[slice(*words[k - 1])] if k else None
-            after = text[slice(*words[k + 1])] if k + 1 < len(words) else None
             self.span.append((doc, a, b))
-            self.feats.append(features(token, before, after))
+            found = features(now, before, text[slice(*following)] if following else None)
+            if self.index is None:
+                self.feats.append(found)
+            else:
+                ids = [i for i in map(self.index.get, found) if i is not None]
+                self.rows.extend([node] * len(ids)), self.cols.extend(ids)
             if previous and previous[0] == k - 1:
-                self._edge(previous[1], node, _CHAIN)
+                self.left.append(previous[1]), self.right.append(node)
             previous = (k, node)
-            for key in _keys(token):
-                if key in last:
-                    self._edge(last[key], node, key[0])
-                last[key] = node
-
-    def _edge(self, a: int, b: int, kind: int) -> None:
-        self.left.append(a), self.right.append(b), self.kind.append(kind)
+            for key in _keys(now):
+                mentions.setdefault(key, []).append(node)
+        for (kind, _), nodes in mentions.items():
+            if len(nodes) > 1:
+                self.hub.extend([len(self.hub_doc)] * len(nodes)), self.member.extend(nodes), self.kind.extend([kind] * len(nodes))
+                self.hub_doc.append(doc)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ends and types of all edges; hubs are nodes after the tokens."""
+        ints = lambda x: np.array(x, np.int64)
+        left = np.concatenate((ints(self.left), ints(self.hub) + len(self.span)))
+        kind = np.concatenate((np.full(len(self.left), _CHAIN), ints(self.kind)))
+        return left, np.concatenate((ints(self.right), ints(self.member))), kind
+
+    def hub_labels(self, labels: np.ndarray, k: int) -> np.ndarray:
+        """For each hub how many of its mentions have each label (below 0: none)."""
+        hub, label = np.array(self.hub, np.int64), labels[np.array(self.member, np.int64)] if len(self.hub) else np.zeros(0, np.int64)
+        known = label >= 0
+        return np.bincount(hub[known] * k + label[known], minlength=len(self.hub_doc) * k).reshape(-1, k)
 
 
 def _write(rng: random.Random) -> list[tuple[str, str]]:
@@ -215,6 +251,20 @@ def _write(rng: random.Random) -> list[tuple[str, str]]:
     return out
 
 
+class _Cover:
+    """The sorted spans of a text, asked which of them overlaps a place."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.spans = spans
+        self.reach = list(accumulate((e for _, _, e in spans), max))
+
+    def kind(self, a: int, b: int) -> int:
+        """The kind of the first span that overlaps a to b, or -1."""
+        # the first that reaches beyond a is one that ends there itself
+        at = bisect_right(self.reach, a)
+        return self.spans[at][1] if at < len(self.spans) and self.spans[at][0] < b else -1
+
+
 class SkipChain:
     """Unary weights of hashed feature names, and a potential matrix for each edge type."""
 
@@ -224,13 +274,16 @@ class SkipChain:
             words = _write(rng)
             graph.add(doc, " ".join(t for t, _ in words))
             gold += [LABELS.index(label) for t, label in words if _any(t)]
-        y, k = np.array(gold), len(LABELS)
+        k = len(LABELS)
+        # a hub's label is the one that most of its mentions have
+        y = np.array(gold)
+        y = np.concatenate((y, graph.hub_labels(y, k).argmax(1)))
         self.index: dict[str, int] = {}
         for fs in graph.feats:
             for f in fs:
                 self.index.setdefault(f, len(self.index))
         rows, cols = self._active(graph)
-        left, right, kind = map(np.array, (graph.left, graph.right, graph.kind))
+        left, right, kind = graph.edges()
         u, t = np.zeros((len(self.index), k)), np.zeros((3, k, k))
         hot = np.eye(k)[y]
         moment = [np.zeros_like(u), np.zeros_like(t)]
@@ -255,80 +308,86 @@ class SkipChain:
         self.unary, self.pair = u, t
 
     def _active(self, graph: Graph) -> tuple[np.ndarray, np.ndarray]:
-        rows, cols = [], []
-        for i, fs in enumerate(graph.feats):
-            for f in fs:
-                c = self.index.get(f)
-                if c is not None:
-                    rows.append(i), cols.append(c)
-        return np.array(rows, np.int64), np.array(cols, np.int64)
+        if graph.index is not None:
+            return np.array(graph.rows, np.int64), np.array(graph.cols, np.int64)
+        known = [(i, self.index[f]) for i, fs in enumerate(graph.feats) for f in fs if f in self.index]
+        return tuple(np.array(known, np.int64).reshape(-1, 2).T)
 
     def marginals(self, graph: Graph, clamp: np.ndarray) -> np.ndarray:
-        """Loopy belief propagation. clamp: the known label of a node, or -1."""
+        """Loopy belief propagation. clamp: the known label of a token, or -1."""
         n, k = len(graph.span), len(LABELS)
+        votes = graph.hub_labels(clamp, k)
+        agreed = (votes > 0).sum(1) == 1
+        clamp = np.concatenate((clamp, np.where(agreed, votes.argmax(1), -1)))
         rows, cols = self._active(graph)
-        belief = np.zeros((n, k))
+        belief = np.zeros((len(clamp), k))
         for c in range(k):
-            belief[:, c] = np.bincount(rows, self.unary[cols, c], n)
+            belief[:, c] = np.bincount(rows, self.unary[cols, c], len(clamp))
         known = clamp >= 0
         belief[known] = np.where(np.arange(k) == clamp[known, None], 0.0, -50.0)
-        unary = belief
-        if graph.left:
-            left, right, kind = map(np.array, (graph.left, graph.right, graph.kind))
+        left, right, kind = graph.edges()
+        if len(left):
+            doc = np.concatenate(([d for d, _, _ in graph.span], np.array(graph.hub_doc, np.int64))).astype(np.int64)
+            # both directions of an edge, sorted by potential, so that each is one product
             src, dst = np.concatenate((left, right)), np.concatenate((right, left))
-            back = np.concatenate((np.arange(len(left)) + len(left), np.arange(len(left))))
-            pot = np.concatenate((self.pair[kind], self.pair[kind].transpose(0, 2, 1)))
-            msg = np.zeros((len(src), k))
-            for _ in range(ROUNDS):
-                out = (belief[src] - msg[back])[:, :, None] + pot
-                top = out.max(1)
-                new = top + np.log(np.exp(out - top[:, None]).sum(1))
+            which = np.concatenate((2 * kind, 2 * kind + 1))
+            order = np.argsort(which, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            back = place[np.concatenate((np.arange(len(left)) + len(left), np.arange(len(left))))[order]]
+            src, dst, which = src[order], dst[order], which[order]
+            of = doc[dst]
+            pots = [np.exp(m) for p in self.pair for m in (p, p.T)]
+            msg, live = np.zeros((len(src), k)), np.arange(len(src))
+            for _ in range(MOST_ROUNDS):
+                out = belief[src[live]] - msg[back[live]]
+                out = np.exp(out - out.max(1, keepdims=True))
+                cut = np.searchsorted(which[live], np.arange(len(pots) + 1))
+                new = np.log(np.concatenate([out[a:b] @ p for p, a, b in zip(pots, cut, cut[1:])]))
                 new -= new.max(1, keepdims=True)
-                msg = 0.5 * msg + 0.5 * new
-                belief = unary.copy()
+                step = 0.5 * (new - msg[live])
+                msg[live] += step
                 for c in range(k):
-                    belief[:, c] += np.bincount(dst, msg[:, c], n)
-        p = np.exp(belief - belief.max(1, keepdims=True))
+                    belief[:, c] += np.bincount(dst[live], step[:, c], len(belief))
+                moving = np.zeros(len(graph.span) and int(doc.max()) + 1, bool)
+                moving[of[live[np.abs(step).max(1) > STILL / 2]]] = True
+                live = live[moving[of[live]]]
+                if not len(live):
+                    break
+        p = np.exp(belief[:n] - belief[:n].max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
     def spans(self, texts: list[str | None]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
         """For each text: the base spans, and the spans that the field adds."""
         base = [base_spans(t) if t else [] for t in texts]
-        graph = Graph()
+        graph = Graph(self.index)
         for i, t in enumerate(texts):
             if t and _any(t):
                 graph.add(i, t)
         added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         if not graph.span:
             return list(zip(base, added))
-        clamp, at = np.full(len(graph.span), -1), 0
-        covered = np.zeros(len(graph.span), bool)
-        for node, (doc, a, b) in enumerate(graph.span):
-            if node and graph.span[node - 1][0] != doc:
-                at = 0
-            spans = base[doc]
-            while at < len(spans) and spans[at][2] <= a:
-                at += 1
-            for s, kind, e in spans[at : at + 8]:
-                if s < b and e > a:
-                    covered[node] = True
-                    clamp[node] = kind + 1
-                    break
-        p = self.marginals(graph, clamp)
+        over = [_Cover(b) for b in base]
+        clamp = np.array([over[doc].kind(a, b) + 1 for doc, a, b in graph.span])
+        covered = clamp > 0
+        p = self.marginals(graph, np.where(covered, clamp, -1))
         best = p.argmax(1)
         sure = (p.max(1) >= SURE) & (best > 0) & ~covered
         for node in np.flatnonzero(sure).tolist():
             doc, a, b = graph.span[node]
             text, kind = texts[doc], int(best[node]) - 1
-            while a < b and text[a] in ".,;:!?\"'()[]<>" and not (text[a] == "(" and ")" in text[a:b]):
+            # a bracket stays if its other half is inside
+            closing = text.rfind(")", a, b)
+            while a < b and text[a] in _EDGES and not (text[a] == "(" and closing >= a):
                 a += 1
-            while b > a and text[b - 1] in ".,;:!?\"'()[]<>" and not (text[b - 1] == ")" and "(" in text[a:b]):
+            opening = text.find("(", a, b)
+            while b > a and text[b - 1] in _EDGES and not (text[b - 1] == ")" and 0 <= opening < b):
                 b -= 1
-            if a == b or any(s < b and e > a for s, _, e in base[doc]):
+            if a == b or over[doc].kind(a, b) >= 0:
                 continue
             mine = added[doc]
             # neighbouring tokens of one kind are one entity
-            if mine and mine[-1][1] == kind and text[mine[-1][2] : a].isspace() and a - mine[-1][2] <= 2:
+            if mine and mine[-1][1] == kind and a - mine[-1][2] <= 2 and text[mine[-1][2] : a].isspace():
                 mine[-1] = (mine[-1][0], kind, b)
             else:
                 mine.append((a, kind, b))

@@ -6,6 +6,7 @@ import io
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -18,6 +19,8 @@ from tokenizers import Tokenizer
 
 from quire.llm import bpe, components, langid, media, packing, pii, queries, secrets, simhash, substring_dedup, token_prefix, topk
 
+from . import pii_labelled
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, __text string, fp string, spans string, h string"
 RNG = random.Random(3)
 LONG = " ".join(RNG.choice(["lorem", "ipsum", "dolor", "a1", "x@y.zz", "+1 (212) 555-0100"]) for _ in range(20_000)) + "a" * 30_000
@@ -221,6 +224,40 @@ def test_pii_loopy_messages_are_exact_on_a_chain():
     assert np.abs(p - exact).max() < 0.02
 
 
+def test_pii_reads_whole_tokens():
+    a, b = "(" + "z" * 90 + "1", "(" + "z" * 90 + "1" * 16
+    assert pii.features(a, None, None) != pii.features(b, None, None)
+    assert (pii._SAME, "5553296") in pii._keys("z" * 10_000 + "555-3296")
+    field = pii.trained()
+    (base, added), (late, more) = field.spans(["x" * 10_000 + "a@b.cd", "é" * 10_000 + " 4111 1111 1111 1111"])
+    assert [k for _, k, _ in base] == [0] and [k for _, k, _ in late] == [2] and not added and not more
+
+
+def test_pii_certainty_reaches_all_mentions():
+    """One certain number decides a hundred mentions, wherever it stands."""
+    field = pii.trained()
+    mentions = "and then again 555-3296 you " * 100
+    for text in ("call +1 (269) 555-3296 now " + mentions, mentions + "call +1 (269) 555-3296 now", mentions * 2 + "call +1 (269) 555-3296 now " + mentions):
+        (base, added), = field.spans([text])
+        assert len(base) == 1 and len(added) == text.count("555-3296") - 1
+
+
+def test_pii_time_grows_with_the_text():
+    field = pii.trained()
+    part = "x 4111 1111 1111 1111 a.b@c.de +1 (269) 555-3296 1.2.3.4 again 555-3296 12:30 "
+    took = []
+    for n in (1000, 4000):
+        start = time.perf_counter()
+        field.spans([part * n])
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 1, took
+
+
+def test_pii_added_spans_of_labelled_documents():
+    right, said, there = pii_labelled.measure(pii.trained(), pii.KINDS)
+    assert there >= 12 and right >= 0.9 * said and right >= 0.6 * there
+
+
 def test_redact(docs):
     got = by_id(pii.redact(docs), "text", "fp")
     # the phone pattern reaches over the address; the union is replaced once
