@@ -120,6 +120,77 @@ def test_sniff_formats(spark):
     assert got[2]["media_type"] == "text/plain" and not got[2]["corrected"] and got[3]["media_type"] is None
 
 
+def bitwise_crc(data, poly, bits):
+    c = 0
+    for x in data:
+        c ^= x << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> (bits - 1) & 1 else 0)) & ((1 << bits) - 1)
+    return c
+
+
+def _ogg(pages):
+    out = b""
+    for k, body in enumerate(pages):
+        flags = (2 if k == 0 else 0) | (4 if k + 1 == len(pages) else 0)
+        page = bytearray(b"OggS\0" + bytes([flags]) + struct.pack("<QIII", k, 7, k, 0) + bytes([1, len(body)]) + body)
+        struct.pack_into("<I", page, 22, bitwise_crc(page, 0x04C11DB7, 32))
+        out += bytes(page)
+    return out
+
+
+def _flac(frames):
+    info = struct.pack(">HH", 192, 192) + bytes(6) + (44100 << 44 | 0 << 41 | 15 << 36 | 192 * frames).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC\x80\0\0\x22" + info
+    for k in range(frames):
+        head = b"\xff\xf8" + bytes([0x19, 0x08, k])
+        head += bytes([bitwise_crc(head, 0x07, 8)])
+        frame = head + b"\0" + struct.pack(">h", 100 * k + 7)
+        out += frame + struct.pack(">H", bitwise_crc(frame, 0x8005, 16))
+    return out
+
+
+def _pdf(revisions):
+    out = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    for k in range(revisions):
+        out += b"%d 0 obj\n<<>>\nendobj\n" % (k + 2)
+        at = len(out)
+        out += b"xref\n0 1\n0000000000 65535 f \ntrailer\n<< /Size 2 >>\nstartxref\n%d\n%%%%EOF\n" % at
+    return out.rstrip()
+
+
+def test_sniff_lengths_are_the_objects_own():
+    """What follows an object is not part of it, and a broken checksum refuses it."""
+    mp3 = b"ID3\3\0\0\0\0\0\5" + bytes(5) + (b"\xff\xfb\x90\0" + bytes(413)) * 3
+    whole = {"audio/ogg": _ogg([b"first", b"second", b"third"]), "audio/flac": _flac(5), "application/pdf": _pdf(3), "audio/mpeg": mp3}
+    for kind, data in whole.items():
+        assert media.sniff(data) == (kind, []), kind
+        for tail in (b"tail", b"%%EOF", data):
+            found = media.sniff(b"junk" + data + tail)[1]
+            assert found[0] == (kind, 4, len(data)) and len(found) == (2 if tail is data else 1), kind
+    flip = lambda data: data[:-3] + bytes([data[-3] ^ 1]) + data[-2:]
+    assert media.sniff(flip(whole["audio/flac"]))[0] is None
+    # an Ogg stream goes as far as its pages are whole
+    assert media.sniff(b"junk" + flip(whole["audio/ogg"]))[1] == [("audio/ogg", 4, len(_ogg([b"first", b"second", b""])) - 28)]
+    assert media.sniff(mp3 + b"TAG" + bytes(125) + b"more")[0] == "audio/mpeg"
+    first = media.sniff(_pdf(2) + b"\n" + _pdf(1))
+    assert first[0] == "application/pdf" and [x[0] for x in first[1]] == ["application/pdf"]
+
+
+@pytest.mark.parametrize("part", [b"%PDF-1 ", b"PK\3\4", b"PK\3\4PK\5\6" + bytes(18), b"%PDF-1 startxref 5 %%EOF xref ", b"\xff\xd8\xff\xe1\0\6\xff\xd8", b"GIF89a\0\0\0\0\0\0\0!\0\0", b"ID3\3\0\0\0\0\0\0\xff\xfb\x90\0", b"\0\0\0\x0cftypmoov"])
+def test_sniff_time_of_repeated_magic(part):
+    start = time.perf_counter()
+    media.sniff(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - start < 8
+
+
+def test_sniff_column_keeps_rows(spark):
+    rows_ = [(k, None if k % 5 == 0 else "image/png", None if k % 7 == 0 else b"x" * k + _png()) for k in range(60)]
+    table = spark.createDataFrame(rows_ + rows_, "sniffed long, embedded string, data binary")
+    got = media.sniff_column(table, id_col="sniffed", data_col="data", declared_col="embedded").toPandas()
+    assert len(got) == 120 and media.sniff_column(table.where("false"), id_col="sniffed", data_col="data", declared_col="embedded").collect() == []
+
+
 def test_pack_is_a_partition_and_tight():
     rng = random.Random(1)
     for _ in range(60):
