@@ -10,9 +10,11 @@ Lengths are UTF-8 bytes and one end mark for each document (a byte-level model's
 ``length`` for another unit). A document over the largest length is cut into pieces of that
 length, and a rest; nothing is dropped or truncated.
 
-Scale: only ids and lengths are shuffled, never texts. Shards are picked by a hash of the
-document and hold ``SHARD`` documents on average, so a shard is bounded whatever the input
-is, and a bin is the shard's own. What sharding costs is a few half-filled bins in each.
+Scale: only ids and lengths are shuffled, never texts. Shards are picked by a hash of the piece
+and hold ``SHARD`` pieces on average, so a shard is bounded whatever the input is, and a bin is
+the shard's own. What sharding costs is a few half-filled bins in each. Rows that repeat are
+counted before they are shuffled and dealt out to shards ``COPIES`` at a time, so one row in a
+third of a table does not fill a shard.
 
 Defined cases: null and empty texts have the end mark only; equal lengths go by id, then by
 piece; rows that repeat an id are packed each on their own; an empty table gives an empty
@@ -32,8 +34,8 @@ from ._spark import materialize
 
 #: Permitted sequence lengths.
 CAPACITIES = (1024, 2048, 4096, 8192, 16384)
-#: Documents of a shard, on average.
-SHARD = 4096
+#: Pieces of a shard, on average, and the most equal ones that go to one shard together.
+SHARD, COPIES = 4096, 64
 
 
 def sequence_cost(capacity: int) -> float:
@@ -86,17 +88,21 @@ def pack_documents(
     ``bin_capacity``."""
     most = max(capacities)
     own = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1 if length is None else length.cast("long")
-    sizes = materialize(df.select(F.col(id_col), own.alias("n"), F.xxhash64(id_col, text_col).alias("h")), "lengths")
-    shards = max(1, -(-sizes.count() // SHARD))
+    rows = df.select(F.col(id_col).alias("id"), own.alias("n"), F.xxhash64(id_col, text_col).alias("h"))
+    sizes = materialize(rows.groupBy("id", "n", "h").agg(F.count("*").alias("copies")), "lengths")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / most))
+    shards = max(1, -(-(sizes.agg(F.sum(F.col("copies") * parts)).first()[0] or 0) // SHARD))
     cut = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(most).cast("long"))
-    pieces = sizes.select(F.col(id_col).alias("id"), "n", "h", F.posexplode(cut).alias("piece", "piece_start"))
+    deal = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+    pieces = sizes.select("id", "n", "h", "copies", F.posexplode(cut).alias("piece", "piece_start")).select("*", deal.alias("hand"))
     pieces = pieces.withColumn("piece_length", F.least(F.col("n") - F.col("piece_start"), F.lit(most)))
+    pieces = pieces.withColumn("copies", F.least(F.col("copies") - F.col("hand") * COPIES, F.lit(COPIES)))
     # pieces of one document may part, so a very long one does not fill a shard
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("h", "piece"), F.lit(shards)))
-    kind = sizes.schema[id_col].dataType.simpleString()
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("h", "piece", "hand"), F.lit(shards)))
+    kind = sizes.schema["id"].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "piece", "h"], kind="stable", ignore_index=True)
+        rows = rows.loc[rows.index.repeat(rows["copies"])].sort_values(["id", "piece", "h"], kind="stable", ignore_index=True)
         bins, caps = pack(rows["piece_length"].tolist(), capacities, cost)
         rows["bin"] = bins
         rows["bin_offset"] = rows.groupby("bin")["piece_length"].cumsum() - rows["piece_length"]
@@ -105,5 +111,5 @@ def pack_documents(
         return rows[["id", "piece", "piece_start", "piece_length", "bin_id", "bin_offset", "bin_capacity"]]
 
     schema = f"id {kind}, piece int, piece_start long, piece_length long, bin_id string, bin_offset long, bin_capacity long"
-    out = pieces.select("id", "piece", "piece_start", "piece_length", "shard", "h").groupBy("shard").applyInPandas(run, schema)
+    out = pieces.select("id", "piece", "piece_start", "piece_length", "shard", "h", "copies").groupBy("shard").applyInPandas(run, schema)
     return out.withColumnRenamed("id", id_col)

@@ -186,9 +186,14 @@ def test_sniff_time_of_repeated_magic(part):
 
 def test_sniff_column_keeps_rows(spark):
     rows_ = [(k, None if k % 5 == 0 else "image/png", None if k % 7 == 0 else b"x" * k + _png()) for k in range(60)]
-    table = spark.createDataFrame(rows_ + rows_, "sniffed long, embedded string, data binary")
-    got = media.sniff_column(table, id_col="sniffed", data_col="data", declared_col="embedded").toPandas()
-    assert len(got) == 120 and media.sniff_column(table.where("false"), id_col="sniffed", data_col="data", declared_col="embedded").collect() == []
+    table = spark.createDataFrame(rows_ + rows_, "id long, sniffed string, embedded binary").withColumn("media_type", F.lit("clash"))
+    run = lambda t: media.sniff_column(t, id_col="id", data_col="embedded", declared_col="sniffed").collect()
+    got = run(table)
+    assert len(got) == 120 and run(table.where("false")) == []
+    for r in got:
+        assert r["sniffed"] == ("image/png" if r["id"] == 0 and r["id"] % 7 else None)
+        if r["id"] % 7:
+            assert [(e["media_type"], e["start"], bytes(e["data"])) for e in r["embedded"]] == [("image/png", r["id"], _png())]
 
 
 def test_pack_is_a_partition_and_tight():
@@ -241,6 +246,55 @@ def test_pack_documents_keeps_every_byte(docs):
         assert at <= cap
 
 
+def plain_pack(lengths, caps, cost):
+    """Each length by scanning all bins: (bin, final capacity) of each."""
+    room, size, got, left = [], [], [0] * len(lengths), sum(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        n = lengths[i]
+        fit = [(r, b) for b, r in enumerate(room) if r >= n and r > 0]
+        if fit:
+            b = min(fit)[1]
+        else:
+            b = len(room)
+            size.append(min((c for c in caps if c >= n), key=lambda c: (cost(c) / min(c, left), c)))
+            room.append(size[-1])
+        room[b] -= n
+        got[i] = b
+        left -= n
+    used = [c - r for c, r in zip(size, room)]
+    return [(b, min(c for c in caps if c >= used[b])) for b in got]
+
+
+@pytest.mark.parametrize("shard", [7, 4096])
+def test_pack_documents_equals_plain_packing(spark, monkeypatch, shard):
+    """Every shard of the query against a plain scan, with rows that repeat and long ones."""
+    monkeypatch.setattr(packing, "SHARD", shard)
+    monkeypatch.setattr(packing, "COPIES", 3)
+    rng = random.Random(31)
+    texts = ["x" * rng.choice([0, 3, 17, 40, 90, 400]) for _ in range(50)] + ["same" * 9] * 40
+    table = spark.createDataFrame([(i if i < 50 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    caps = (32, 64, 128)
+    got = packing.pack_documents(table, capacities=caps).collect()
+    assert sorted(r["piece_length"] for r in got) == sorted(n for t in texts for n in [128] * ((len(t) + 1) // 128) + [(len(t) + 1) % 128] if n)
+    shards = {}
+    for r in got:
+        shards.setdefault(r["bin_id"].split(":")[0], []).append(r)
+    assert len(shards) > 3 or shard > 100
+    for rows_ in shards.values():
+        rows_.sort(key=lambda r: (r["doc_id"], r["piece"]))
+        want = plain_pack([r["piece_length"] for r in rows_], caps, packing.sequence_cost)
+        # bins of equal pieces may be swapped among them
+        key = lambda pairs: sorted((b, c) for b, c in pairs)
+        assert key((int(r["bin_id"].split(":")[1]), r["bin_capacity"]) for r in rows_) == key(want)
+
+
+def test_pack_parts_repeated_rows(spark):
+    """A row that fills the table is dealt out to many shards."""
+    table = spark.range(40_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    got = packing.pack_documents(table).groupBy(F.split("bin_id", ":")[0].alias("s")).count().collect()
+    assert sum(r["count"] for r in got) == 40_000 and len(got) >= 9 and max(r["count"] for r in got) < 8 * packing.SHARD // 4
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
