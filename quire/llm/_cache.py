@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 
 class Memo(dict):
-    """``memo[key]`` computes a missing value with ``make``. At ``most`` entries the present
-    ones become the old generation, from which used entries come back; what the generation
-    before held is forgotten. So at most twice ``most`` values are held."""
+    """``memo[key]`` computes a missing value with ``make``. At ``most`` entries, or at ``BYTES`` of
+    keys and values, the present ones become the old generation, from which used entries come
+    back; what the generation before held is forgotten. So at most twice that is held. A key
+    is text or bytes, and a value at most four bytes for each unit of it."""
+
+    BYTES = 64 << 20
 
     def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.held = make, most, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -20,9 +23,11 @@ class Memo(dict):
         return self[key]
 
     def put(self, key, value) -> None:
-        if len(self) >= self.most:
+        if len(self) >= self.most or self.held > self.BYTES:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self.held += 5 * len(key) + 150
         self[key] = value
 
     def knows(self, key) -> bool:

@@ -5,9 +5,13 @@ length bucket. Every round, each row merges its leftmost pair of minimum rank; r
 from an open-addressing hash table of pairs, and rows without a mergeable pair leave the
 matrix (compaction). Results are those of the tiktoken library.
 
+Rows of over ``SHORT`` bytes merge in one round all places of their minimum rank, from the left
+up to the first whose new neighbours make a pair of a lower rank: what one merge at a time
+would give, in fewer rounds. So a very long piece takes about as many rounds as it has ranks,
+not as it has merges.
+
 Defined cases: a null or empty text has no tokens and decodes to no bytes; a piece that is
-itself a token is that token; rows over ``LONG`` bytes merge in the same order over a heap,
-so that one very long piece costs n log n; repeated rows give equal results; an empty table
+itself a token is that token; a piece of any length is a row; repeated rows give equal results; an empty table
 gives an empty table; columns other than the id and the text are not touched.
 """
 
@@ -15,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import regex
@@ -24,13 +27,15 @@ from pyspark.sql import DataFrame
 from ._cache import Memo
 from ._spark import map_texts
 
-#: Pieces of more bytes than this do not go into a matrix.
-LONG = 128
+#: Rows of more bytes than this merge all places of a rank in one round.
+SHORT = 128
+#: Cells of a matrix, or one longer row.
+CELLS = 1 << 20
 #: Words whose ids a worker remembers (twice as many at most).
 CACHE_WORDS = 200_000
 
 _INF = np.int32(2**31 - 1)
-_BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, LONG)
+_BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, SHORT)
 
 
 class PairTable:
@@ -129,37 +134,54 @@ class ByteBPE:
                     rank[ok, k[ok]] = self.pairs.get(ids[ok, k[ok]], ids[ok, k[ok] + 1])
         return out
 
-    def _long(self, word: bytes) -> np.ndarray:
-        """The same merges in the same order, for one long word."""
-        ids = self.of_byte[np.frombuffer(word, np.uint8)]
-        tok = ids.tolist()
-        n = len(tok)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.pairs.get(ids[:-1], ids[1:])
-        heap = [(r, i, tok[i], tok[i + 1]) for i, r in enumerate(first.tolist()) if r != _INF]
-        heapq.heapify(heap)
-        one = np.empty(1, np.int32), np.empty(1, np.int32)
-
-        def push(i: int) -> None:
-            j = after[i] if i >= 0 else n
-            if i >= 0 and j < n:
-                one[0][0], one[1][0] = tok[i], tok[j]
-                r = int(self.pairs.get(*one)[0])
-                if r != _INF:
-                    heapq.heappush(heap, (r, i, tok[i], tok[j]))
-
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if tok[i] != a or j >= n or tok[j] != b:
-                continue
-            tok[i], tok[j] = r, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            push(before[i])
-            push(i)
-        return np.array([t for t in tok if t >= 0], np.int32)
+    def _wide(self, words: list[bytes], width: int) -> list[np.ndarray]:
+        """As ``_matrix``, with all places of a row's minimum rank merged in a round."""
+        n = len(words)
+        out: list[np.ndarray] = [None] * n  # type: ignore[list-item]
+        flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        size = np.array([len(w) for w in words])
+        at = np.arange(width, dtype=np.int32)
+        ids = np.where(at < size[:, None], self.of_byte[flat], np.int32(-1))
+        rank = np.full((n, width), _INF)
+        rank[:, :-1] = self.pairs.get(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
+        row = np.arange(n)
+        while True:
+            best = rank.min(1)
+            for i in np.flatnonzero(best == _INF).tolist():
+                out[row[i]] = ids[i, : size[i]]
+            live = best < _INF
+            if not live.any():
+                return out
+            row, ids, rank, size, best = row[live], ids[live], rank[live], size[live], best[live]
+            hit = rank == best[:, None]
+            # of places in a row the first, third, ... merge: they do not overlap
+            since = at - np.maximum.accumulate(np.where(hit, np.int32(-1), at), axis=1)
+            take = hit & (since & 1 == 1)
+            # the pairs that each merge makes, with what stands left and right of it at its turn
+            r, c = np.nonzero(take)
+            token, none = best[r], np.int32(-1)
+            left = np.where(c > 0, np.where((c > 1) & take[r, c - 2], token, ids[r, c - 1]), none)
+            right = np.where(c + 2 < len(at), ids[r, np.minimum(c + 2, len(at) - 1)], none)
+            lower = np.minimum(self.pairs.get(left, token), self.pairs.get(token, right)) < token
+            if lower.any():
+                stop = np.full(len(row), len(at), np.int64)
+                np.minimum.at(stop, r[lower], c[lower])
+                take &= at <= stop[:, None]
+            ids[take] = np.broadcast_to(best[:, None], ids.shape)[take]
+            keep = at < size[:, None]
+            keep[:, 1:] &= ~take[:, :-1]
+            # compaction: rows move together and the matrix narrows to the longest
+            size = keep.sum(1)
+            at = at[: size.max()]
+            place = at < size[:, None]
+            new = np.full(place.shape, -1, np.int32), np.full(place.shape, _INF), np.zeros(place.shape, bool)
+            for to, old in zip(new, (ids, rank, take)):
+                to[place] = old[keep]
+            ids, rank, changed = new
+            changed[:, :-1] |= changed[:, 1:].copy()
+            r, c = np.nonzero(changed)
+            after = np.where(c + 1 < len(at), ids[r, np.minimum(c + 1, len(at) - 1)], np.int32(-1))
+            rank[r, c] = self.pairs.get(ids[r, c], after)
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
@@ -169,14 +191,15 @@ class ByteBPE:
             r = self.ranks.get(w)
             if r is not None:
                 out[i] = r.to_bytes(4, "little")
-            elif len(w) > LONG:
-                out[i] = self._long(w).astype("<u4").tobytes()
             elif w:
-                buckets.setdefault(next(b for b in _BUCKETS if len(w) <= b), []).append(i)
+                width = next(b for b in _BUCKETS if len(w) <= b) if len(w) <= SHORT else 1 << (len(w) - 1).bit_length()
+                buckets.setdefault(width, []).append(i)
         for width, rows in buckets.items():
-            for k in range(0, len(rows), 8192):
-                part = rows[k : k + 8192]
-                for i, ids in zip(part, self._matrix([words[j] for j in part], width)):
+            merge, most = (self._matrix, 8192) if width <= SHORT else (self._wide, max(1, CELLS // width))
+            for k in range(0, len(rows), most):
+                part = rows[k : k + most]
+                longest = width if width <= SHORT else max(len(words[j]) for j in part)
+                for i, ids in zip(part, merge([words[j] for j in part], longest)):
                     out[i] = ids.astype("<u4").tobytes()
         return out
 

@@ -411,11 +411,41 @@ def test_bpe_equals_library():
     own = bpe.ByteBPE(path, public_tokenizers.PATTERN)
     rng = random.Random(4)
     texts = [t for t in TEXTS if t is not None] + ["".join(rng.choice("abcdeé的 '\n12👍") for _ in range(rng.randint(0, 400))) for _ in range(200)] + ["ab" * 3000, " " * 5000, "的" * 900]
+    texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n)) for n in (127, 128, 129, 255, 256, 257, 1000, 40_000)] + ["a" * n for n in range(100, 140)]
     ids = own.encode(texts)
     assert [np.frombuffer(i, "<u4").tolist() for i in ids] == [library.encode_ordinary(t) for t in texts]
     assert [own.decode(i) for i in ids] == [t.encode() for t in texts]
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_bpe_wide_rows_equal_narrow_ones(shuffled):
+    """Merging all places of a rank gives what one merge a round gives, even by ranks in disorder."""
+    own = bpe.ByteBPE(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(14)
+    words = [bytes(rng.choice(b"aabtheron ") for _ in range(rng.randint(1, 60))) for _ in range(300)] + [b"a" * n for n in range(1, 40)]
+    if shuffled:
+        # a vocabulary of all strings over two letters, in random order
+        some = [bytes(97 + (k >> i & 1) for i in range(n)) for n in range(2, 8) for k in range(1 << n)]
+        rng.shuffle(some)
+        own.ranks = {bytes([i]): i for i in range(256)} | {t: 256 + k for k, t in enumerate(some)}
+        triples = [(own.ranks[t[:i]], own.ranks[t[i:]], own.ranks[t]) for t in some for i in range(1, len(t))]
+        own.pairs = bpe.PairTable(*(np.array(x, np.int64) for x in list(zip(*triples))[:2]), np.array([x[2] for x in triples], np.int32))
+        own.of_byte = np.arange(256, dtype=np.int32)
+        words = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 60))) for _ in range(600)] + words[-39:]
+    narrow, wide = own._matrix(words, 60), own._wide(words, 60)
+    assert all(a.tolist() == b.tolist() for a, b in zip(narrow, wide))
+
+
+def test_memo_is_bounded_by_bytes(monkeypatch):
+    from quire.llm._cache import Memo
+
+    monkeypatch.setattr(Memo, "BYTES", 10_000)
+    memo = Memo(len, 1000)
+    for k in range(300):
+        assert memo[f"{k:05}" * 100] == 500
+    assert len(memo) + len(memo.old) < 12
+
+
 def test_prefix_counts_equal_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
