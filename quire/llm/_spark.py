@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,16 +27,27 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or in a session
-    without that setting (tests on one machine) a folder of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder of this application that all executors share: below ``spark.checkpoint.dir``, or
+    in a session without that setting on one machine a temporary folder. A cluster has to name
+    one: executors would each write to their own discs. ``clean`` removes it."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return f"{named.rstrip('/')}/quire-{context.applicationId}"
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="quire-"))
+        atexit.register(shutil.rmtree, _own_root[0][7:], ignore_errors=True)
     return _own_root[0]
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove what this application wrote between steps. Tables that were returned before read it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the plan is cut
     there and a lost executor costs a reread, not a recomputation."""

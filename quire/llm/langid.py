@@ -5,9 +5,11 @@ the family; within it, one-versus-one linear support vector machines vote on the
 Features are the hashed character trigrams of the lower-cased words of the whole text; their
 weights are averaged over the text, so that a prediction is one gather and one sum.
 
-Learning: a bounded sample of labelled rows, ``per_lang`` of each label on average and
-``MAX_ROWS`` in all, taken by a hash of the id. The machines are fitted by dual coordinate
-descent; logistic scales fitted on the sample turn margins into the score.
+Learning: a bounded sample of labelled rows of the ``MAX_LABELS`` most frequent labels: ``per_lang``
+of each on average, so that all together are ``MAX_ROWS`` on average, and never more than twice
+that; rows that repeat id and text count once, and texts of over ``MAX_BYTES`` are not learned
+from. They are taken by a hash of id and text, least first. The machines are fitted by dual
+coordinate descent; logistic scales fitted on the sample turn margins into the score.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; with no learned
 label every text is ``und``; labels whose family is not known form a family of their own;
@@ -27,8 +29,9 @@ from ._spark import map_texts
 
 UND = "und"
 BITS = 14
-#: Bounds of the sample: rows learned from for each label on average, and in all.
-PER_LANG, MAX_ROWS = 300, 2400
+#: Bounds of the sample: rows learned from for each label and in all (on average; at most twice
+#: that), labels, and bytes of a text.
+PER_LANG, MAX_ROWS, MAX_LABELS, MAX_BYTES = 300, 2400, 256, 1 << 18
 #: Of ``StrictModel``: the least fit of a text (nats a trigram), the share of trigrams taken as
 #: spread evenly, the slot of trigrams without a letter, what each of them adds to the sum, and the rows of a label that is checked.
 MIN_FIT, UNSEEN, NO_LETTER, NO_LETTER_FIT, FEW_ROWS = 0.5, 0.05, 0, -1.0, 5
@@ -248,14 +251,18 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
     label counts (no text is read), then a sample by a hash of the id, thinned so that each
     label has ``per_lang`` rows on average. The sample is all that the driver receives."""
     rows = df.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    count = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    most = rows.groupBy(F.col(lang_col).alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(MAX_LABELS)
+    count = {r[0]: r[1] for r in most.collect()}
     if not count:
         return kind([], [])
     each = min(per_lang, max(1, MAX_ROWS // len(count)))
     share = F.create_map(*[F.lit(v) for lang, n in count.items() for v in (lang, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(F.col(text_col).isNotNull() & (draw < share[F.col(lang_col)]))
-    got = sample.select(F.col(id_col), F.col(text_col), F.col(lang_col)).limit(2 * MAX_ROWS).collect()
+    hashed = F.xxhash64(F.col(id_col), F.col(text_col))
+    draw = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= MAX_BYTES) & (draw < share[F.col(lang_col)]))
+    sample = sample.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("v"), hashed.alias("h"))
+    sample = sample.groupBy("h").agg(F.min_by(F.struct("i", "t", "v"), "v").alias("r")).orderBy("h").limit(2 * MAX_ROWS)
+    got = sample.select("r.*").collect()
     got = sorted(r for r in got if _letter(r[1]))
     return kind([r[1] for r in got], [r[2] for r in got])
 

@@ -230,13 +230,15 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The rows of ``df`` with the smallest id of their component; of rows that repeat that id
-    within the component, one stays. Rows with a null id stay only if no other row is in reach."""
-    tagged = df.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("__text", F.xxhash64(text_col))
-    prints = materialize(fingerprint_column(tagged, text_col=text_col, words=words, keep=[id_col, "__id", "__text"]), "prints")
-    classes = groups(prints, id_col=id_col, keep=("component",))
+    within the component, one stays. Rows with a null id stay only if no other row is in reach.
+    Ids may be of any type that has an order; all columns are carried in a struct, so that their
+    names cannot clash with ours, and are not touched."""
+    src = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    prints = materialize(fingerprint_column(src, text_col="text", words=words, keep=["id", "key"]), "prints")
+    classes = groups(prints, id_col="id", keep=("component",))
     # one (id, text) for each component; its copies are folded before they are shuffled
-    best = prints.join(classes, "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    best = best.groupBy("component", "__id").agg(F.min("__text").alias("__text")).select("__id", "__text")
-    kept = tagged.join(best, ["__id", "__text"])
+    best = prints.join(classes, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    best = best.groupBy("component", "id").agg(F.min("key").alias("key")).select(F.col("id").alias("best_id"), F.col("key").alias("best_key"))
+    kept = src.join(best, (F.col("key") == F.col("best_key")) & F.col("id").eqNullSafe(F.col("best_id")))
     # one id can be best in several components; what repeats id and text is one row
-    return kept.dropDuplicates(["__id", "__text"]).select(*df.columns)
+    return kept.dropDuplicates(["id", "key"]).select("row.*")

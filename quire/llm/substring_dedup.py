@@ -4,23 +4,26 @@ Method: a window is ``WINDOW`` consecutive words. Every window holds one anchor,
 ``ANCHOR`` words with the least hash in it, and equal windows have equal anchors at different
 places. A count-min sketch of the anchors (two rows of cells that saturate at two) therefore
 never underestimates how often a window occurs. Each task fills sketches of its own; they are
-merged cell range by cell range, not on the driver. The second pass groups exactly, by 96
-bits of hash, only windows whose anchor is estimated repeated: none is lost.
+merged cell range by cell range, not on the driver. The second pass groups exactly, by 128
+bits of hash made of two unlike hashes of each word, only windows whose anchor is estimated
+repeated: none is lost.
 
-Sizes: the cells grow with the input (``CELLS`` for each expected anchor) up to ``MAX_BITS``;
-only the bit map of cells that saturate is broadcast, at most ``2 * 2**MAX_BITS / 8`` bytes.
-Beyond that size the estimate gets coarser and the second pass groups more; the result is the
-same.
+Sizes: the cells grow with the input (``CELLS`` for each expected anchor), without a bound. Up
+to ``MAX_BITS`` the bit map of cells that saturate is broadcast (``2 * 2**MAX_BITS / 8`` bytes at
+most); a larger one stays where it was merged, and the anchors come to it by two equality
+joins. The result is the same.
 
 Skew: of equal windows within one chunk of rows only the first is shuffled, the others are
-known to be repeats at once. So a passage in a third of all documents reaches its group with
-one row for each chunk, not for each document.
+known to be repeats at once; of chunks of one task only those go on that come before what went
+on already. So a passage in a third of all documents reaches its group with a few rows for each
+task, not with one for each document. The first place of a group is found in one sorted pass.
 
 Defined cases: null, empty and blank texts have no words; texts of fewer than ``WINDOW`` words
 have no window; rows that repeat a doc_id with the same text are one document, each returned
 alike; rows that repeat a doc_id with another text are judged as documents of their own, at
-the same place in the order, told apart by 64 bits of hash; a null id comes before all others; an empty table gives an empty
-table; other columns are not touched.
+the same place in the order, told apart by 64 bits of hash; a null id comes before all others;
+ids of any type that has an order will do; an empty table gives an empty table; other columns
+are carried in a struct, so that their names cannot clash with ours, and are not touched.
 """
 
 from __future__ import annotations
@@ -34,19 +37,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegralType, StructField, StructType
 
 from ._cache import Memo
 from ._spark import chunks, materialize, small_batches
 
 WINDOW, ANCHOR = 20, 10
-#: Cells of a sketch row for each expected anchor, and the most bits of a cell number.
-CELLS, MIN_BITS, MAX_BITS = 4, 16, 30
+#: Cells of a sketch row for each expected anchor, the least bits of a cell number, and the most
+#: of a sketch that is broadcast.
+CELLS, MIN_BITS, MAX_BITS = 4, 16, 27
 #: Bits of a cell number within one range of a sketch row.
 RANGE_BITS = 18
 #: Bits of a slot number of ids; at most this many slots are broadcast.
 SLOT_BITS = 18
 #: Characters of text whose windows are judged at one time in the second pass.
 PASS_CHARS = 1 << 20
+#: Windows that a task remembers to have sent on; it starts anew when full, which only sends more.
+SENT = 200_000
 
 _split = re.compile(rb"[^\x20\x09-\x0D]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -84,20 +92,21 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """Word hashes of texts, laid end to end."""
+    """Two unlike hashes of each word of texts laid end to end."""
 
     def __init__(self):
-        digest = xxhash.xxh64_intdigest
+        digest = xxhash.xxh3_128_digest
         self.memo = Memo(digest, 100_000)
 
-    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, and the number of words of each text."""
+    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes of all words, and the number of words of each text."""
         get, parts, count = self.memo.__getitem__, [], []
         for t in texts:
             w = t.encode().split() if t else []
             count.append(len(w))
-            parts.append(np.fromiter(map(get, w), np.uint64, len(w)))
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(count, np.int64)
+            parts += map(get, w)
+        both = np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), np.array(count, np.int64)
 
 
 def _valid(count: np.ndarray, total: int) -> np.ndarray:
@@ -161,7 +170,7 @@ def sketch(df: DataFrame, text_col: str, bits: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(0)
             for a, b in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()]):
-                h, count = hasher.words(texts.slice(a, b - a).to_pylist())
+                h, _, count = hasher.words(texts.slice(a, b - a).to_pylist())
                 _, mine = _anchors(h, _valid(count, len(h)))
                 mine = mine[mine != _NONE]
                 if len(mine):
@@ -229,33 +238,106 @@ def _packed(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return edge, pa.Array.from_buffers(pa.large_binary(), len(edge), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), data]).cast(pa.binary())
 
 
-def repeated_windows(df: DataFrame, shared: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``__id``, ``__text`` (the document's key) and ``start``: the word at which a window
-    starts that also starts earlier; a row for each. ``shared``: as ``shared_places``."""
-    small_batches(df.sparkSession)
+def _full_cells(parts: DataFrame, bits: int, row: int) -> DataFrame:
+    """``cell``: the cells of a sketch row that were hit twice or more, where they were merged."""
+    low_bits = min(bits, RANGE_BITS)
+    ranges = 1 << (bits - low_bits)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, full in zip(batch.column(0).to_pylist(), batch.column(1)):
+                cells = np.flatnonzero(np.unpackbits(np.frombuffer(full.as_buffer(), np.uint8)))
+                yield pa.RecordBatch.from_arrays([pa.array(cells + ((part - row * ranges) << low_bits))], names=["cell"])
+
+    mine = parts.where((F.col("part") >= row * ranges) & (F.col("part") < (row + 1) * ranges))
+    return mine.mapInArrow(spell, "cell long")
+
+
+def _met(keyed: DataFrame, parts: DataFrame, bits: int) -> DataFrame:
+    """``keyed`` rows with an anchor that is estimated repeated, and ``anchors``, the list of those.
+    Anchors go to the cells by equality joins, which adaptive execution splits at hot cells."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for a, b in chunks([x or 0 for x in pa.compute.binary_length(batch.column(2)).to_pylist()]):
+                h, _, count = hasher.words(batch.column(2).slice(a, b - a).to_pylist())
+                _, mine = _anchors(h, _valid(count, len(h)))
+                at = np.flatnonzero(mine != _NONE)
+                doc = np.repeat(np.arange(len(count)), count)[at]
+                cells = [pa.array(_cells(mine[at], bits, row).astype(np.int64)) for row in (0, 1)]
+                own = [pa.array(batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False)[doc]) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(mine[at].view(np.int64)), *cells], names=["place", "key", "anchor", "c0", "c1"])
+
+    import pyarrow.compute  # noqa: F401  (pa.compute)
+
+    rows = keyed.select("place", "key", "text").mapInArrow(spell, "place long, key long, anchor long, c0 long, c1 long").distinct()
+    for row in (0, 1):
+        rows = rows.join(_full_cells(parts, bits, row).withColumnRenamed("cell", f"c{row}"), f"c{row}", "left_semi")
+    lists = rows.groupBy("place", "key").agg(F.collect_set("anchor").alias("anchors"))
+    return keyed.join(lists, ["place", "key"])
+
+
+class _Sent:
+    """What a task has sent on of windows that it met twice: the earliest place of each."""
+
+    def __init__(self):
+        self.first: dict[int, tuple[int, int, int]] = {}
+
+    def later(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, place: np.ndarray, twice: np.ndarray) -> np.ndarray:
+        """Which rows come after the place that was sent. ``twice``: those to remember."""
+        out = np.zeros(len(h1), bool)
+        known = self.first
+        rows = list(zip(h1.tolist(), h2.tolist(), ids.tolist(), place.tolist()))
+        for k, (a, b, i, p) in enumerate(rows):
+            seen = known.get(a)
+            if seen is None or seen[0] != b:
+                if twice[k]:
+                    known[a] = (b, i, p)
+            elif (i, p) > seen[1:]:
+                out[k] = True
+            else:
+                known[a] = (b, i, p)
+        if len(known) > SENT:
+            known.clear()
+        return out
+
+
+def repeated_windows(keyed: DataFrame) -> DataFrame:
+    """``place``, ``key`` and ``start``: the word at which a window starts that also starts earlier;
+    a row for each. ``keyed``: as ``_keyed``."""
+    small_batches(keyed.sparkSession)
     # words have six bytes or so, and an anchor comes every sixth word
-    total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(1, total / 36 * CELLS))), MIN_BITS, MAX_BITS))
-    parts = [(r[0], bytes(r[1])) for r in sketch(df, text_col, bits).collect()]
-    guess = df.sparkSession.sparkContext.broadcast(Estimate(bits, parts))
-    # the place packs start, and above it whether there is an id: rows without come first
-    out_schema = "h1 long, h2 int, __id long, place long, __text long, starts binary"
-    names = ["h1", "h2", "__id", "place", "__text", "starts"]
-    done_names = ["__id", "__text", "start"]
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(max(np.ceil(np.log2(max(1, total / 36 * CELLS))), MIN_BITS))
+    parts = sketch(keyed, "text", bits)
+    rows = keyed.select("place", "key", "named", "text", F.lit(None).cast("array<bigint>").alias("anchors"))
+    guess = None
+    if bits <= MAX_BITS:
+        guess = keyed.sparkSession.sparkContext.broadcast(Estimate(bits, [(r[0], bytes(r[1])) for r in parts.collect()]))
+    else:
+        rows = _met(keyed.select("place", "key", "named", "text"), materialize(parts, "sketch"), bits).select(*rows.columns)
+    # the spot packs start, and above it whether there is an id: rows without come first
+    out_schema = "h1 long, h2 long, place long, spot long, key long, starts binary"
+    names = ["h1", "h2", "place", "spot", "key", "starts"]
+    done_names = ["place", "key", "start"]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, sent = Hasher(), _Sent()
         for batch in batches:
             texts = batch.column(3)
             for a, b in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()], PASS_CHARS):
-                h, count = hasher.words(texts.slice(a, b - a).to_pylist())
+                h, g, count = hasher.words(texts.slice(a, b - a).to_pylist())
                 valid = _valid(count, len(h))
                 low, _ = _anchors(h, valid)
-                at = np.flatnonzero(guess.value.repeated(low))
+                if guess is not None:
+                    at = np.flatnonzero(guess.value.repeated(low))
+                else:
+                    known = np.unique(batch.column(4).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
+                    at = np.flatnonzero(valid & np.isin(low, known))
                 if not len(at):
                     continue
-                h1 = _runs(h, WINDOW, 2)[at].view(np.int64)
-                h2 = (_runs(h, WINDOW, 3)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                h1, h2 = _runs(h, WINDOW, 2)[at].view(np.int64), _runs(g, WINDOW, 3)[at].view(np.int64)
                 begin = np.concatenate(([0], np.cumsum(count)[:-1]))
                 doc = np.repeat(np.arange(len(count)), count)[at]
                 start = at - begin[doc]
@@ -269,14 +351,17 @@ def repeated_windows(df: DataFrame, shared: DataFrame, *, id_col: str = "doc_id"
                 first = np.maximum.accumulate(np.where(later, 0, np.arange(len(order))))
                 # the first of equal windows goes on, with rows at its very place; the others are repeats
                 known = later & (ow != ow[first])
-                send, got = order[~known], np.sort(order[known])
-                own = doc[send]
-                cols = [h1[send], h2[send], ids[own], named[own] << 32 | start[send], text[own]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(send), pa.binary())], names=names)
+                size = np.bincount(first, minlength=len(order))
+                send, twice = order[~known], size[first][~known] > 1
+                own, spot = doc[send], named[doc[send]] << 32 | start[send]
+                gone = sent.later(h1[send], h2[send], ids[own], spot, twice)
+                got = np.sort(np.concatenate((order[known], send[gone])))
+                send, own, spot = send[~gone], own[~gone], spot[~gone]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (h1[send], h2[send], ids[own], spot, text[own])), pa.nulls(len(send), pa.binary())], names=names)
                 if len(got):
                     edge, starts = _packed(doc[got], start[got])
                     own = doc[got][edge]
-                    cols = [ids[own] * 31 + text[own], np.zeros(len(own), np.int32), ids[own], np.zeros(len(own), np.int64), text[own]]
+                    cols = [ids[own] * 31 + text[own], np.zeros(len(own), np.int64), ids[own], np.zeros(len(own), np.int64), text[own]]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, cols), starts], names=names)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,38 +395,32 @@ def repeated_windows(df: DataFrame, shared: DataFrame, *, id_col: str = "doc_id"
 
     import pyarrow.compute  # noqa: F401  (pa.compute)
 
-    keyed = _keyed(df, id_col, text_col, shared).select("__id", "__text", F.col(id_col).isNotNull().cast("long").alias("__named"), F.col(text_col))
-    sent = keyed.mapInArrow(windows, out_schema)
-    sent = sent.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "__id", "place")
-    return sent.mapInArrow(later, "__id long, __text long, start int")
-
-
-def _place(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-
-
-def _whole(id_col: str, text_col: str) -> Column:
-    """All 64 bits that tell rows of one place apart: of the text, and whether there is an id."""
-    return F.xxhash64(F.col(text_col), F.col(id_col).isNull())
+    spread = rows.mapInArrow(windows, out_schema)
+    spread = spread.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "place", "spot")
+    return spread.mapInArrow(later, "place long, key long, start int")
 
 
 def _slot(place: Column) -> Column:
     return F.pmod(F.xxhash64(place), F.lit(1 << SLOT_BITS))
 
 
-def shared_places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``__slot``: slots of the ids that stand on unlike rows. Other ids may fall into them too."""
-    key = _whole(id_col, text_col)
-    rows = df.groupBy(_place(id_col).alias("place")).agg(F.min(key).alias("a"), F.max(key).alias("b"))
-    return materialize(rows.where("a <> b").select(_slot(F.col("place")).alias("__slot")).distinct(), "slots")
-
-
-def _keyed(df: DataFrame, id_col: str, text_col: str, shared: DataFrame) -> DataFrame:
-    """``df`` with the place of a document in the order (no id: before all others), and what tells
-    rows of one id apart: 64 bits, or 0 for an id that needs none, to keep the shuffle small."""
-    slots = F.broadcast(shared.withColumn("__shared", F.lit(True)))
-    tagged = df.withColumn("__id", _place(id_col)).withColumn("__slot", _slot(F.col("__id"))).join(slots, "__slot", "left")
-    return tagged.withColumn("__text", F.when(F.col("__shared"), _whole(id_col, text_col)).otherwise(F.lit(0)).cast("long")).drop("__slot", "__shared")
+def _keyed(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """``row`` (the ``keep`` columns), ``text``, ``place`` of the document in the order (no id: before
+    all others), ``named`` (1: has an id), and ``key``, which tells rows of one id apart: 64 bits
+    of the text and of whether there is an id, or 0 for an id that needs none, to keep the shuffle small."""
+    src = df.select(F.struct(*keep).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    place = F.col("id").cast("long")
+    if not isinstance(src.schema["id"].dataType, IntegralType):
+        # numbers in the order of the ids
+        order = src.select("id").where("id is not null").distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("at"))
+        src, place = src.join(materialize(order, "order"), "id", "left"), F.col("at")
+    src = src.select("row", "text", F.coalesce(place, F.lit(-(1 << 63))).alias("place"), F.col("id").isNotNull().cast("long").alias("named"))
+    whole = F.xxhash64("text", F.col("named") == 0)
+    # slots of the ids that stand on unlike rows; other ids may fall into them too
+    unlike = src.groupBy("place").agg(F.min(whole).alias("a"), F.max(whole).alias("b")).where("a <> b")
+    slots = materialize(unlike.select(_slot(F.col("place")).alias("slot")).distinct(), "slots").withColumn("shared", F.lit(True))
+    tagged = src.withColumn("slot", _slot(F.col("place"))).join(F.broadcast(slots), "slot", "left")
+    return tagged.select("row", "text", "place", "named", F.when(F.col("shared"), whole).otherwise(F.lit(0)).cast("long").alias("key"))
 
 
 def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
@@ -352,34 +431,27 @@ def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
     return step > 0
 
 
-def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with ``__runs``: the starts of its repeated windows (null: none)."""
-    shared = shared_places(df, id_col, text_col)
-    found = repeated_windows(df, shared, id_col=id_col, text_col=text_col)
-    runs = materialize(found.groupBy("__id", "__text").agg(F.collect_list("start").alias("__runs")), "runs")
-    return _keyed(df, id_col, text_col, shared).join(runs, ["__id", "__text"], "left")
-
-
-def _map_judged(joined: DataFrame, keep: list[str], text_col: str, schema: str, fn) -> DataFrame:
-    """As ``map_texts``, with the runs of each text beside it."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    src = joined.select(*keep, text_col, "__runs")
-    out = StructType([src.schema[c] for c in keep] + StructType.fromDDL(schema).fields)
+def _map_judged(df: DataFrame, id_col: str, text_col: str, keep: list[str], schema: str, fn) -> DataFrame:
+    """The ``keep`` columns and the columns of ``schema`` that ``fn`` makes of each text and the
+    starts of its repeated windows."""
+    keyed = _keyed(df, id_col, text_col, keep)
+    found = repeated_windows(keyed)
+    runs = materialize(found.groupBy("place", "key").agg(F.collect_list("start").alias("runs")), "runs")
+    src = keyed.join(runs, ["place", "key"], "left").select("row", "text", "runs")
+    added = StructType.fromDDL(schema)
+    out = StructType([src.schema["row"], StructField("got", added)])
     arrow = to_arrow_schema(out)
-    k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks([x or 0 for x in pa.compute.binary_length(batch.column(k)).to_pylist()]):
-                texts, lists = batch.column(k).slice(a, b - a).to_pylist(), batch.column(k + 1).slice(a, b - a)
+            for a, b in chunks([x or 0 for x in pa.compute.binary_length(batch.column(1)).to_pylist()]):
+                texts, lists = batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a)
                 size = lists.value_lengths().fill_null(0).to_numpy()
                 runs = np.split(lists.flatten().to_numpy(), np.cumsum(size)[:-1])
                 rows = [fn(t, r) for t, r in zip(texts, runs)]
-                cols = [batch.column(i).slice(a, b - a) for i in range(k)]
-                cols += [pa.array([r[j] for r in rows], arrow.field(k + j).type) for j in range(len(arrow) - k)]
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+                kind = arrow.field(1).type
+                got = pa.StructArray.from_arrays([pa.array([r[j] for r in rows], kind.field(j).type) for j in range(kind.num_fields)], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), got], schema=arrow)
 
     import pyarrow.compute  # noqa: F401  (pa.compute)
 
@@ -399,7 +471,7 @@ def dedup_digest(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             kept = words
         return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    return _map_judged(_judged(df, id_col, text_col), [id_col], text_col, "n_words long, n_removed long, kept_sha256 string", one)
+    return _map_judged(df, id_col, text_col, [id_col], "n_words long, n_removed long, kept_sha256 string", one).select("row.*", "got.*")
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,4 +492,5 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return (b"".join([*out, raw[at:]]).strip().decode(),)
 
     others = [c for c in df.columns if c != text_col]
-    return _map_judged(_judged(df, id_col, text_col), others, text_col, f"`{text_col}` string", one).select(*df.columns)
+    done = _map_judged(df, id_col, text_col, others, "text string", one)
+    return done.select(*[F.col("got.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])

@@ -79,6 +79,58 @@ def test_repeated_rows_agree(docs):
         assert len(set(map(tuple, got))) <= len(TEXTS)
 
 
+FOREIGN = "place long, key string, row string, text2 string, named double, __id string, __text string, fp binary, runs string, id string, h int, got string, slot string, at string"
+
+
+@pytest.mark.parametrize("name", ["redact", "remove_repeats", "keep_one"])
+def test_foreign_columns_stay(spark, name):
+    """Columns named as our own ones come back as they were, and in their order."""
+    fields = [f.strip().split() for f in FOREIGN.split(",")]
+    values = {"long": F.lit(5).cast("long"), "string": F.lit("mine"), "double": F.lit(0.5), "binary": F.lit("b").cast("binary"), "int": F.lit(3)}
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS[:7] + TEXTS[8:])], "doc_id long, text string")
+    wide = table.select(*[values[t].alias(n) for n, t in fields], "text", "doc_id", F.lit("end").alias("spans"))
+    got = {"redact": pii.redact, "remove_repeats": substring_dedup.remove_repeats, "keep_one": simhash.keep_one}[name](wide)
+    assert got.columns == wide.columns and [f.dataType for f in got.schema] == [f.dataType for f in wide.schema]
+    rows_ = got.drop("text", "doc_id").distinct().collect()
+    assert rows_ == wide.drop("text", "doc_id").distinct().collect() and got.count() > 5
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(10,2)"])
+def test_ids_of_any_type(spark, kind):
+    """Ids that are no integers order documents as their type does."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    texts = [f"first {passage}", f"{passage} second", "plain text", None, "plain text"]
+    made = {"string": F.concat(F.lit("k"), F.col("i").cast("string")), "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("i")), "decimal(10,2)": F.col("i").cast(kind)}[kind]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select(made.alias("doc_id"), "text", "i")
+    back = {r["doc_id"]: r["i"] for r in table.collect()}
+    assert {back[r["doc_id"]]: r["n_removed"] for r in substring_dedup.dedup_digest(table).collect()} == {0: 0, 1: 25, 2: 0, 3: 0, 4: 0}
+    assert {r["i"] for r in simhash.keep_one(table).collect()} == {0, 1, 2, 3}
+    assert {back[r["doc_id"]]: back[r["component_id"]] for r in simhash.near_duplicates(table).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from quire.llm import _spark
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+
+        class conf:
+            named = None
+
+            @classmethod
+            def get(cls, key, default):
+                return cls.named or default
+
+        def getConf(self):
+            return self.conf
+
+    session = type("Session", (), {"sparkContext": Context()})()
+    with pytest.raises(RuntimeError):
+        _spark.shared_root(session)
+    Context.conf.named = "hdfs://shared/"
+    assert _spark.shared_root(session) == "hdfs://shared/quire-app-1"
+
+
 def by_id(df, *cols):
     return {r["doc_id"]: tuple(r[c] for c in cols) for r in df.collect()}
 
@@ -681,6 +733,30 @@ def test_substring_sketch_never_loses(spark, monkeypatch):
     assert by_id(substring_dedup.dedup_digest(table), "n_words", "n_removed", "kept_sha256") == plain_dedup(docs)
 
 
+def test_substring_few_cells_and_no_broadcast(spark, monkeypatch):
+    """A sketch whose cells are nearly all full, and one that is not broadcast, lose nothing."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    table, want = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), plain_dedup(docs)
+    monkeypatch.setattr(substring_dedup, "CELLS", 1e-6)
+    monkeypatch.setattr(substring_dedup, "MIN_BITS", 8)
+    assert by_id(substring_dedup.dedup_digest(table), "n_words", "n_removed", "kept_sha256") == want
+    monkeypatch.setattr(substring_dedup, "CELLS", 4)
+    monkeypatch.setattr(substring_dedup, "MAX_BITS", 4)
+    assert by_id(substring_dedup.dedup_digest(table), "n_words", "n_removed", "kept_sha256") == want
+
+
+def test_substring_window_in_all_rows(spark, monkeypatch):
+    """One passage in every row goes on a few times for each task; a task's memory may be small."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = [(k * 7 % 3001, f"{passage} own{k}") for k in range(3001)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substring_dedup, "PASS_CHARS", 2000)
+    for most in (200_000, 5):
+        monkeypatch.setattr(substring_dedup, "SENT", most)
+        got = substring_dedup.dedup_digest(table).groupBy("n_removed").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).collect()
+        assert sorted((r["n_removed"], r["n"], r["least"]) for r in got) == [(0, 1, 0), (30, 3000, 1)]
+
+
 @pytest.mark.parametrize("doc_id", [5, None])
 def test_substrings_of_one_id_are_told_apart(spark, doc_id):
     """Texts of one id whose hashes agree in 16 bits: only the one with the repeat loses it."""
