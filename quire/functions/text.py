@@ -3,6 +3,7 @@ the data model: a dot stops at a line feed only, white space and case are Unicod
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -118,6 +119,35 @@ def quote_regex(value: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
+def running(values: Column, op: Callable[[Column, Column], Column], neutral: int) -> Column:
+    """The running ``op`` over an array of longs, in steps of doubled width: n log n, where a fold
+    that appends would copy the array for each element."""
+    none = F.lit(neutral).cast("bigint")
+
+    def widen(acc: Column, k: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1), k)
+        return F.zip_with(acc, F.concat(F.array_repeat(none, width), F.slice(acc, F.lit(1), F.size(acc) - width)), op)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int") - 1)
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(steps, values, widen))
+
+
+def inner_text(html: Column) -> Column:
+    """Text without tags, character by character: an unclosed tag swallows the rest, a stray closing
+    bracket goes."""
+    return F.regexp_replace(html, r"<[^>]*(?:>|\z)|>", "")
+
+
+def pdf_string(raw: Column) -> Column:
+    """A PDF's string as text: UTF-16 or UTF-8 by its mark, UTF-8 if it is that, else Latin-1. An
+    odd last byte of UTF-16 goes."""
+    mark = lambda n: F.hex(F.substring(raw, 1, n))
+    rest = lambda at, n: F.substring(raw, F.lit(at), n)
+    wide = F.decode(rest(3, F.octet_length(raw) - 2 - F.octet_length(raw) % 2), "UTF-16BE")
+    as_utf8 = F.try_validate_utf8(raw.cast("string"))
+    return F.when(mark(2) == "FEFF", wide).when(mark(3) == "EFBBBF", rest(4, F.octet_length(raw)).cast("string")).otherwise(F.coalesce(as_utf8, F.decode(raw, "ISO-8859-1")))
+
+
 def wrap(text: Column, width: int = 82) -> Column:
     """Lines of at most ``width`` bytes, filled greedily; a longer word has its own line."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import posixpath
 import zipfile
 
 import pandas as pd
@@ -42,7 +44,7 @@ def html_book(title: Column, sheets: Column, bodies: Column) -> Column:
 
 
 def ncx(uid: Column, title: Column, toc: Column) -> Column:
-    """The flat navigation file; ``toc``: structs with title and href, in order."""
+    """The flat navigation file, of fixed form; ``toc``: structs with title and href, in order."""
     def point(e: Column, i: Column) -> Column:
         n = (i + 1).cast("string")
         return F.concat(F.lit('<navPoint id="navPoint-'), n, F.lit('" playOrder="'), n, F.lit('"><navLabel><text>'), X.escape_text(e["title"]), F.lit('</text></navLabel><content src="'), X.escape_attr(e["href"]), F.lit('"/></navPoint>\n'))
@@ -61,7 +63,7 @@ def ncx(uid: Column, title: Column, toc: Column) -> Column:
 
 
 def opf(uid: Column, title: Column, language: Column, authors: Column, manifest: Column, spine: Column, guide: Column, description: Column | None = None, publisher: Column | None = None, date: Column | None = None) -> Column:
-    """The package file. manifest: structs (id, href, media_type); spine: (idref, linear);
+    """The package file, of fixed form. manifest: structs (id, href, media_type); spine: (idref, linear);
     guide: (ref_type, title, href)."""
     attr = X.escape_attr
     item = lambda m: F.concat(F.lit('<item id="'), attr(m["id"]), F.lit('" href="'), attr(m["href"]), F.lit('" media-type="'), attr(m["media_type"]), F.lit('"/>\n'))
@@ -90,6 +92,7 @@ def opf(uid: Column, title: Column, language: Column, authors: Column, manifest:
     )
 
 
+#: Fixed value: names the package file.
 CONTAINER = _XML + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
 
 
@@ -100,8 +103,6 @@ def epub_files(books: DataFrame, manifest: DataFrame) -> DataFrame:
     rows = manifest.select("book_id", F.col("pos").cast("int").alias("pos"), "href", "media_type", "text", "data").unionByName(head)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        import json
-
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
             def put(name, data, stored=False):
@@ -113,7 +114,7 @@ def epub_files(books: DataFrame, manifest: DataFrame) -> DataFrame:
             for r in rows[rows["pos"] >= 0].sort_values("pos").itertuples():
                 data = r.text.encode() if isinstance(r.text, str) else r.data
                 if data is not None:
-                    put("OEBPS/" + r.href, bytes(data), r.media_type in PRECOMPRESSED)
+                    put(posixpath.normpath("OEBPS/" + r.href), bytes(data), r.media_type in PRECOMPRESSED)
             for r in rows[rows["pos"] < 0].itertuples():
                 package = json.loads(r.text)
                 put("OEBPS/content.opf", package["opf"])

@@ -6,10 +6,13 @@ projection; only renumbering, counting and trimming shuffle, on narrow columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..store import cut
 
 #: Fixed values.
 XHTML = ("application/xhtml+xml", "text/html")
@@ -24,25 +27,34 @@ SPLIT_BYTES, SMALL_BYTES, SMALL_CHUNKS = 10_000, 500, 5
 
 def headings(docs: DataFrame, text: str = "text", chapter: str | None = None) -> DataFrame:
     """``docs`` without the text, and a row for each heading: ``level``, ``byte_offset``, ``title``.
-    Levels are matched one by one, so nested headings are all found; blank titles are dropped."""
-    level = F.explode(F.sequence(F.lit(1), F.lit(6))).alias("level")
-    rows = docs.select("*", level)
-    pattern = F.concat(F.lit("(?id)<h"), F.col("level"), F.lit("[^>]*>(.*?)</h"), F.col("level"), F.lit(">"))
-    rows = rows.withColumn("__p", pattern).withColumn("__all", F.regexp_extract_all(text, F.col("__p"), F.lit(0)))
-    rows = rows.where(F.size("__all") > 0).withColumn("__in", F.regexp_extract_all(text, F.col("__p"), F.lit(1)))
-    rows = rows.withColumn("__pieces", F.split(F.col(text), F.col("__p"), -1))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x))
-    rows = rows.select(*[c for c in docs.columns if c != text], "level", "__all", "__pieces", F.posexplode("__in").alias("__k", "__title"))
-    rows = rows.withColumn("byte_offset", total(F.slice("__pieces", F.lit(1), F.col("__k") + 1)) + total(F.slice("__all", F.lit(1), F.col("__k"))))
-    rows = rows.withColumn("title", X.trim(X.strip_tags(F.col("__title")))).where("title <> ''")
-    if chapter is not None:
-        rows = rows.where(F.col("title").rlike(chapter))
-    return rows.drop("__all", "__pieces", "__k", "__title")
+    Levels are matched one by one, so nested headings are all found; blank titles are dropped.
+    Offsets are summed up before the rows part, so a heading's row carries no text but its own."""
+    pattern = lambda n: rf"(?id)<h{n}[^>]*>(.*?)</h{n}>"
+    own, levels = [c for c in docs.columns if c != text], range(1, 7)
+    mine = F.col("__row.t")
+    none = F.array().cast("array<string>")
+    rows = docs.select(F.struct(F.col(text).alias("t"), F.struct(*own).alias("own")).alias("__row"))
+    found = rows.select("__row", *[F.when(mine.rlike(f"(?i)<h{n}"), F.regexp_extract_all(mine, F.lit(pattern(n)), F.lit(0))).otherwise(none).alias(f"f{n}") for n in levels])
+
+    def sizes(n: int) -> Column:
+        f = F.col(f"f{n}")
+        both = F.zip_with(F.slice(F.split(mine, pattern(n), -1), F.lit(1), F.size(f)), f, lambda p, m: (F.octet_length(p) + F.octet_length(m)).cast("bigint"))
+        return F.when(F.size(f) > 0, both).otherwise(F.array().cast("array<bigint>")).alias(f"n{n}")
+
+    sized = found.select(F.col("__row.own").alias("own"), *[f"f{n}" for n in levels], *[sizes(n) for n in levels])
+    ends = sized.select("own", *[f"f{n}" for n in levels], *[X.running(F.col(f"n{n}"), lambda x, y: x + y, 0).alias(f"e{n}") for n in levels])
+
+    def heads(n: int) -> Column:
+        title = lambda m: X.trim(X.strip_tags(F.regexp_extract(m, rf"(?is)^<h{n}[^>]*>(.*)</h{n}>$", 1)))
+        return F.zip_with(f"e{n}", f"f{n}", lambda e, m: F.struct(F.lit(n).alias("level"), (e - F.octet_length(m)).alias("byte_offset"), title(m).alias("title")))
+
+    out = ends.select("own", F.explode(F.concat(*map(heads, levels))).alias("h")).select("own.*", "h.*").where("title <> ''")
+    return out if chapter is None else out.where(F.col("title").rlike(chapter))
 
 
 def detect_toc(manifest: DataFrame, chapter: str | None = None) -> DataFrame:
     """The table of contents of books from their headings: ``play_order`` from 1, ``title``,
-    ``href`` (with an anchor below level 2) and ``klass``."""
+    ``href`` (with an anchor below level 2), ``depth`` (always 1) and ``klass``."""
     docs = manifest.where(F.col("media_type").isin(*XHTML)).select("book_id", "pos", "href", "text")
     found = headings(docs, chapter=chapter)
     order = Window.partitionBy("book_id").orderBy("pos", "byte_offset", "level")
@@ -52,10 +64,40 @@ def detect_toc(manifest: DataFrame, chapter: str | None = None) -> DataFrame:
         F.row_number().over(order).alias("play_order"),
         "title",
         F.when(F.col("level") <= 2, F.col("href")).otherwise(anchor).alias("href"),
+        F.lit(1).alias("depth"),
         F.concat(F.lit("h"), "level").alias("klass"),
     )
 
 
+def toc_tree(toc: DataFrame, deepest: int = 16) -> DataFrame:
+    """Contents (book_id, play_order, depth, ...) in depth-first order, with ``parent``, the play order
+    of the entry above (null: none). Entries below ``deepest`` hang on the last one above it that
+    is not."""
+    before = Window.partitionBy("book_id").orderBy("play_order").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.max(F.when(F.col("depth") == d, F.col("play_order"))).over(before) for d in range(1, deepest + 1)]
+    # of the depths above the entry's own the entry that stands last
+    above = [F.when(F.col("depth") > d, at) for d, at in enumerate(last, 1)]
+    return toc.withColumn("parent", F.greatest(*above))
+
+
+def depth_first(nodes: DataFrame) -> DataFrame:
+    """A forest (book_id, node_id, parent_id, pos, ...) with ``depth`` from 1 and ``play_order`` from 1,
+    each node before its children, siblings by ``pos``. A level is a join; nodes that no root
+    reaches (a lost parent, a ring) go."""
+    tree = cut(nodes, "nodes")
+    level = tree.where("parent_id is null").select("book_id", "node_id", F.array("pos").alias("path"))
+    done = []
+    while not level.isEmpty():
+        level = cut(level, "level")
+        done.append(level)
+        below = tree.select("book_id", F.col("node_id").alias("child"), F.col("parent_id").alias("node_id"), "pos")
+        level = below.join(level, ["book_id", "node_id"]).select("book_id", F.col("child").alias("node_id"), F.concat("path", F.array("pos")).alias("path"))
+    paths = reduce(DataFrame.unionByName, done) if done else level
+    order = Window.partitionBy("book_id").orderBy("path", "node_id")
+    placed = paths.select("book_id", "node_id", F.size("path").alias("depth"), F.row_number().over(order).alias("play_order"))
+    return tree.join(placed, ["book_id", "node_id"])
+
+
 def split_document(html: Column) -> Column:
     """The chunks of a document, or null where it stays whole: a split before each h1 or h2 and
     after each page break; blank chunks go; many small chunks mean no split."""
@@ -228,19 +270,30 @@ def relink_toc(toc: DataFrame, chunks: DataFrame) -> DataFrame:
     first = chunks.groupBy("book_id", "from_href", "title").agg(F.min_by("href", "pos").alias("__new"))
     keyed = toc.withColumn("from_href", X.fragment_strip(F.col("href")))
     out = keyed.join(first, ["book_id", "from_href", "title"], "left")
-    return out.select("book_id", "play_order", "title", F.coalesce("__new", "href").alias("href"))
+    kept = [c for c in toc.columns if c not in ("book_id", "play_order", "title", "href")]
+    return out.select("book_id", "play_order", "title", F.coalesce("__new", "href").alias("href"), *kept)
+
+
+#: A string or an address without quotes, which stay; and a comment. Possessive, so that the
+#: matcher keeps no state for each character.
+_KEPT = r"""("[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'|(?i:url)\(\s*+[^"'()\s][^"'()]*+\))"""
+_COMMENT = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
 
 
 def minify_css(css: Column) -> Column:
-    """A sheet without comments and white space that means nothing. Strings are kept: the sheet
-    is cut at them, and only what lies between is changed."""
-    string = r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
-    bare = F.regexp_replace(css, r"/\*[\s\S]*?\*/", "")
-    strings = F.regexp_extract_all(bare, F.lit(string), F.lit(1))
+    """A sheet without comments and white space that means nothing. Strings and addresses are kept as
+    they are; a comment between two names leaves a blank. A sheet with a string or comment that
+    does not end is kept whole."""
+    mark = "\u0001"
+    # one pass tells strings from comments, whichever begins first
+    bare = F.regexp_replace(F.translate(css, mark, ""), f"{_KEPT}|{_COMMENT}", "$1" + mark)
+    bare = F.replace(F.regexp_replace(bare, rf"(?<=[\w%-]){mark}+(?=[\w%-])", " "), F.lit(mark), F.lit(""))
 
     def shrink(piece: Column) -> Column:
-        one = F.regexp_replace(F.regexp_replace(piece, r"\s+", " "), r"\s*([{};,])\s*", "$1")
-        return F.replace(F.regexp_replace(one, r":\s+", ":"), F.lit(";}"), F.lit("}"))
+        one = F.regexp_replace(F.regexp_replace(piece, r"\s+", " "), " ?([{};,]) ?", "$1")
+        return F.replace(F.replace(one, F.lit(": "), F.lit(":")), F.lit(";}"), F.lit("}"))
 
-    pieces = F.transform(F.split(bare, string, -1), shrink)
-    return F.trim(F.array_join(F.flatten(F.transform(pieces, lambda p, i: F.array(p, F.coalesce(F.get(strings, i), F.lit(""))))), ""))
+    pieces, strings = F.split(bare, _KEPT, -1), F.regexp_extract_all(bare, F.lit(_KEPT), F.lit(1))
+    small = F.array_join(F.zip_with(pieces, strings, lambda p, s: F.concat(shrink(p), F.coalesce(s, F.lit("")))), "")
+    torn = F.regexp_replace(bare, _KEPT, "").rlike(r"""["']|/\*""")
+    return F.when(torn, css).otherwise(F.trim(small))

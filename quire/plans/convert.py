@@ -21,7 +21,7 @@ from ..operators import binary_books, sinks
 from ..operators import transforms as T
 from ..options import Options
 from ..sources.books import Books
-from .store import cut
+from ..store import cut
 
 Stage = Callable[[Books], Books]
 
@@ -84,7 +84,7 @@ def detect_structure(chapter: str | None) -> Stage:
         order = F.row_number().over(Window.partitionBy("book_id").orderBy("pos"))
         spine = b.spine.join(still, "book_id", "left_semi").withColumn("play_order", order)
         ids = b.manifest.select("book_id", F.col("id").alias("idref"), "href")
-        sections = spine.join(ids, ["book_id", "idref"]).select("book_id", "play_order", F.concat(F.lit("Section "), F.col("play_order").cast("string")).alias("title"), "href")
+        sections = spine.join(ids, ["book_id", "idref"]).select("book_id", "play_order", F.concat(F.lit("Section "), F.col("play_order").cast("string")).alias("title"), "href", F.lit(1).alias("depth"))
         return b.having(toc=b.toc.unionByName(found).unionByName(sections))
 
     return run
@@ -272,12 +272,15 @@ def write_txt(b: Books) -> DataFrame:
 
 
 def write_html(b: Books) -> DataFrame:
+    """The book as one page, and as ``files`` (href, data) the pictures that belong beside it."""
     none = F.array().cast("array<string>")
     body = lambda t: F.nullif(F.regexp_extract(t, r"(?is)<body[^>]*>(.*)</body>", 1), F.lit(""))
     sheets = b.manifest.where(_is_css()).groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("sheets"))
-    rows = b.books.join(_spine_texts(b, "docs", body), "book_id", "left").join(sheets, "book_id", "left")
+    shown = b.manifest.where(F.col("media_type").startswith("image/") & F.col("data").isNotNull())
+    files = shown.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "href", "data"))), lambda r: F.struct(r["href"].alias("href"), r["data"].alias("data"))).alias("files"))
+    rows = b.books.join(_spine_texts(b, "docs", body), "book_id", "left").join(sheets, "book_id", "left").join(files, "book_id", "left")
     docs = F.filter(F.coalesce("docs", none), lambda d: d.isNotNull())
-    return rows.select("book_id", _utf8(sinks.html_book(F.col("title"), F.coalesce("sheets", none), docs)).alias("data"))
+    return rows.select("book_id", _utf8(sinks.html_book(F.col("title"), F.coalesce("sheets", none), docs)).alias("data"), "files")
 
 
 def write_epub(b: Books) -> DataFrame:
@@ -305,7 +308,7 @@ def _pictures(b: Books) -> DataFrame:
 
 
 def _built(rows: DataFrame, build: Callable[[dict], bytes]) -> DataFrame:
-    """``book_id`` and ``data``: each row's bytes. A book is one row; a broken one gives null."""
+    """``book_id``, ``data``: each row's bytes, and ``error``: why there are none. A book is one row."""
     kind = rows.schema["book_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,12 +316,12 @@ def _built(rows: DataFrame, build: Callable[[dict], bytes]) -> DataFrame:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
                 try:
-                    data = build(one.to_pylist()[0])
-                except ValueError:
-                    data = None
-                yield pa.RecordBatch.from_arrays([one.column(0), pa.array([data], pa.binary())], names=["book_id", "data"])
+                    data, error = build(one.to_pylist()[0]), None
+                except ValueError as e:
+                    data, error = None, str(e)
+                yield pa.RecordBatch.from_arrays([one.column(0), pa.array([data], pa.binary()), pa.array([error], pa.string())], names=["book_id", "data", "problem"])
 
-    return rows.mapInArrow(run, f"book_id {kind}, data binary")
+    return rows.mapInArrow(run, f"book_id {kind}, data binary, problem string")
 
 
 def _terms(row: dict) -> list[tuple[str, str]]:
@@ -355,10 +358,14 @@ WRITERS: dict[str, Callable[[Books], DataFrame]] = {"txt": write_txt, "html": wr
 
 
 def convert(b: Books, target: str, options: Options | None = None, stages: list[tuple[str, Stage]] | None = None) -> DataFrame:
-    """``book_id``, ``stem``, ``data``, ``error``: one row for each book that was read."""
+    """``book_id``, ``stem``, ``data``, ``files`` (pictures that belong beside the book, of HTML only),
+    ``error``: one row for each book. A book that was not read or cannot be written has no data
+    and says why."""
     if target not in WRITERS:
         raise ValueError(f"no writer for format {target}; there are {', '.join(WRITERS)}")
     done = apply(b, standard_stages(options or Options()) if stages is None else stages)
     readable = done.having(books=done.books.where("error is null"))
     data = WRITERS[target](readable)
-    return b.books.select("book_id", "stem", "error").join(data, "book_id", "left").select("book_id", "stem", "data", "error")
+    more = {"files": "array<struct<href:string,data:binary>>", "problem": "string"}
+    data = data.select("book_id", "data", *[F.col(c) if c in data.columns else F.lit(None).cast(t).alias(c) for c, t in more.items()])
+    return b.books.select("book_id", "stem", "error").join(data, "book_id", "left").select("book_id", "stem", "data", "files", F.coalesce("error", "problem").alias("error"))

@@ -87,7 +87,7 @@ def toc_chapter_filter(spark, sf_dir):
         SELECT page_id AS book_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY byte_offset, level) AS INTEGER) AS play_order, title,
                CASE WHEN level <= 2 THEN 'content.xhtml' ELSE 'content.xhtml#heading-' || strlen(title) END AS href, 'h' || level AS klass FROM t""")
 def play_order(spark, sf_dir):
-    return T.detect_toc(_pages(spark, sf_dir, _deep))
+    return T.detect_toc(_pages(spark, sf_dir, _deep)).drop("depth")
 
 
 @query(f"SELECT page_id, {_TRIM.format(chr(40) + 'regexp_extract(html, ' + chr(39) + '(?is)<title>(.*?)</title>' + chr(39) + ', 1)' + chr(41))} AS title FROM pages")

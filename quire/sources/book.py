@@ -14,6 +14,7 @@ from ..functions.text import DOCTYPE
 XHTML = "application/xhtml+xml"
 #: Extension -> media type of embedded pictures; others count as JPEG.
 PICTURES = {"png": "image/png", "gif": "image/gif", "svg": "image/svg+xml", "bmp": "image/bmp", "webp": "image/webp"}
+#: Fixed value: the sheet of books that are one document.
 STYLE = "body { font-family: serif; line-height: 1.6; margin: 1em; }\np { margin: 0.5em 0; }\nimg { max-width: 100%; height: auto; }\n"
 _MAGIC = ((b"\x89PNG", "png"), (b"\xff\xd8\xff", "jpg"), (b"GIF8", "gif"), (b"BM", "bmp"))
 

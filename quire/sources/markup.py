@@ -197,11 +197,11 @@ def read_fb2(data: bytes, stem: str) -> dict:
 _PAGE_INLINE = ("b", "i", "a", "sup", "sub")
 
 
-def _page_inline(e: ET.Element) -> str:
+def page_inline(e: ET.Element) -> str:
     """The inside of a text element with its marks; as in the reference, its text is not escaped."""
     parts = [e.text or ""]
     for c in e:
-        kind, inner = _name(c), _page_inline(c)
+        kind, inner = _name(c), page_inline(c)
         href = f' href="{B.attr(c.get("href"))}"' if kind == "a" and c.get("href") is not None else ""
         parts += [f"<{kind}{href}>{inner}</{kind}>" if kind in _PAGE_INLINE else inner, c.tail or ""]
     return "".join(parts)
@@ -214,7 +214,7 @@ def page_rows(data: str) -> list[tuple]:
     for page in ET.fromstring(data).iter("page"):
         for seq, t in enumerate(page.iter("text")):
             at = [float(t.get(k, 0)) for k in ("top", "left", "width", "height")]
-            rows.append((int(page.get("number", 0)), seq, *at, t.get("font"), "".join(t.itertext()), _page_inline(t)))
+            rows.append((int(page.get("number", 0)), seq, *at, t.get("font"), "".join(t.itertext()), page_inline(t)))
     return rows
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,31 +21,41 @@ def html_title(html: Column) -> Column:
     return F.nullif(X.trim(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)), F.lit(""))
 
 
-def html_books(df: DataFrame, id_col: str, html_col: str, stem: Column) -> DataFrame:
-    """``book_id``, ``title``, ``language``, ``href``, ``text`` (XHTML): one document for a book."""
-    html = F.col(html_col)
-    title = F.coalesce(html_title(html), stem)
-    text = F.when(F.contains(html, F.lit("<html")), html).otherwise(X.xhtml_document(title, html))
-    return df.select(F.col(id_col).alias("book_id"), title.alias("title"), F.lit("en").alias("language"), F.lit("content.xhtml").alias("href"), text.alias("text"))
-
-
-def text_books(df: DataFrame, id_col: str, text_col: str, stem: Column) -> DataFrame:
-    """Plain text as XHTML: paragraphs parted by blank lines, line feeds kept as breaks."""
-    body = X.paragraph_html(F.coalesce(F.col(text_col), F.lit("")))
-    return df.select(F.col(id_col).alias("book_id"), stem.alias("title"), F.lit("content.xhtml").alias("href"), X.xhtml_document(stem, body, css="style.css").alias("text"))
-
-
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
+def _resolved(base: str, href: str) -> str:
+    """An address of a document in the folder ``base`` as a name in the archive."""
+    return posixpath.normpath(posixpath.join(base, unquote(href))) if href else ""
+
+
+def _points(root: ET.Element) -> list[tuple[str, str, int]]:
+    """The navigation points as (label, address, depth), a parent before its children."""
+    out: list[tuple[str, str, int]] = []
+    stack = [(e, 1) for e in reversed([m for m in root if _local(m.tag) == "navMap"])]
+    while stack:
+        e, depth = stack.pop()
+        below = depth
+        if _local(e.tag) == "navPoint":
+            own = [c for c in e if _local(c.tag) in ("navLabel", "content")]
+            label = next(("".join(t.itertext()).strip() for c in own for t in c if _local(t.tag) == "text"), "")
+            src = next((c.get("src") or "" for c in own if _local(c.tag) == "content"), "")
+            out.append((label, src, depth))
+            below = depth + 1
+        stack += [(c, below) for c in reversed(e) if _local(c.tag) == "navPoint"]
+    return out
+
+
 def read_epub(data: bytes) -> dict:
-    """An EPUB's tables: metadata, manifest, spine, toc, guide. Items whose file is missing are
-    kept without data; spine entries without an item go."""
+    """An EPUB's tables: metadata, manifest, spine, toc, guide. Addresses are percent-decoded before
+    their files are looked up, and relative to the package file; those of the contents and the
+    guide too. Items whose file is missing are kept without data; spine entries without an item go."""
     z = zipfile.ZipFile(io.BytesIO(data))
     names = set(z.namelist())
     root = next(e.get("full-path") for e in ET.fromstring(z.read("META-INF/container.xml")).iter() if _local(e.tag) == "rootfile")
-    base = root.rsplit("/", 1)[0] + "/" if "/" in root else ""
+    base = posixpath.dirname(root)
+    file_of = {}
     out: dict = {"metadata": [], "manifest": [], "spine": [], "toc": [], "guide": [], "uid": None}
     toc_id = None
     for e in ET.fromstring(z.read(root)).iter():
@@ -55,26 +67,36 @@ def read_epub(data: bytes) -> dict:
         elif kind in ("series", "series_index") and e.text:
             out["metadata"].append((kind, e.text.strip()))
         elif kind == "item":
-            name = base + (e.get("href") or "")
-            out["manifest"].append((e.get("id"), e.get("href"), e.get("media-type"), z.read(name) if name in names else None))
+            href = e.get("href") or ""
+            # a name may stand in the archive as it is written, too
+            name = next((n for n in (_resolved(base, href), posixpath.join(base, href)) if n in names), None)
+            file_of[e.get("id")] = name
+            out["manifest"].append((e.get("id"), unquote(href), e.get("media-type"), z.read(name) if name else None))
         elif kind == "spine":
             toc_id = e.get("toc")
         elif kind == "itemref":
             out["spine"].append(e.get("idref"))
-        elif kind == "reference":
-            out["guide"].append((e.get("type"), e.get("title"), e.get("href")))
+        elif kind == "reference" and e.get("type") and e.get("href"):
+            href = unquote(e.get("href"))
+            out["guide"].append((e.get("type"), e.get("title") or "", href.removeprefix(base + "/") if base else href))
     ids = {m[0] for m in out["manifest"]}
     out["spine"] = [i for i in out["spine"] if i in ids]
     nav = next((m[3] for m in out["manifest"] if m[0] == toc_id and m[3]), None)
     if nav:
-        for p in ET.fromstring(nav).iter():
-            if _local(p.tag) == "navPoint":
-                label = next((t.text for t in p.iter() if _local(t.tag) == "text"), "")
-                src = next((c.get("src") for c in p.iter() if _local(c.tag) == "content"), "")
-                out["toc"].append((label, src))
+        folder = posixpath.dirname(file_of[toc_id])
+        for label, src, depth in _points(ET.fromstring(nav)):
+            path, mark, fragment = src.partition("#")
+            href = posixpath.relpath(_resolved(folder, path), base or ".") if path else ""
+            out["toc"].append((label, href + mark + unquote(fragment), depth))
     return out
 
 
+def is_text(media_type: str | None) -> bool:
+    """Types whose payload is a text."""
+    kind = (media_type or "").partition(";")[0].strip().lower()
+    return kind.startswith("text/") or kind.endswith(("xml", "json", "javascript"))
+
+
 def epub_items(files: DataFrame) -> DataFrame:
     """files: book_id, data. A row for each manifest item of every book: ``book_id``, ``pos``,
     ``id``, ``href``, ``media_type``, ``text`` (XHTML, sheets, XML), ``data`` (others), and
@@ -90,7 +112,7 @@ def epub_items(files: DataFrame) -> DataFrame:
                     tables = read_epub(data.as_py())
                     place = {i: k for k, i in reversed(list(enumerate(tables["spine"])))}
                     for pos, (i, href, media, raw) in enumerate(tables["manifest"]):
-                        textual = media is not None and (media.startswith("text/") or media.endswith("xml"))
+                        textual = is_text(media)
                         rows.append((book, pos, i, href, media, raw.decode("utf-8", "replace") if raw is not None and textual else None, None if textual else raw, place.get(i), None))
                 except Exception as e:  # noqa: BLE001  a broken book does not end the job
                     rows.append((book, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
