@@ -523,7 +523,26 @@ def plain_print(text, words=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def plain_classes(prints):
+def plain_prints(text, words=3, count=3):
+    """``plain_print`` and those of further hashes, made of the first by a mixing of 64 bits."""
+    mask = (1 << 64) - 1
+
+    def other(h, k):
+        x = (h + k * 0x9E3779B97F4A7C15) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    w = (text or "").encode().lower().split()
+    if not w:
+        return (0,) * count
+    hs = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))]
+    return tuple(sum(1 << b for b in range(64) if 2 * sum((other(h, k) if k else h) >> b & 1 for h in hs) > len(hs)) for k in range(count))
+
+
+def plain_classes(prints, bits=3):
+    """Classes of ids by their fingerprints, or by tuples of them: any within ``bits`` links."""
+    prints = {i: p if isinstance(p, tuple) else (p,) for i, p in prints.items()}
     ids = list(prints)
     parent = {i: i for i in ids}
 
@@ -534,7 +553,7 @@ def plain_classes(prints):
 
     for a in ids:
         for b in ids:
-            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3:
+            if a < b and any((x ^ y).bit_count() <= bits for x, y in zip(prints[a], prints[b])):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {i: root(i) for i in ids}
@@ -564,6 +583,59 @@ def test_simhash_links_of_close_prints(spark, monkeypatch, hot):
     assert {i: classes[p] for i, p in prints.items()} == plain_classes(prints)
 
 
+@pytest.mark.parametrize("bits, hot", [(3, 12), (4, 8192), (5, 16), (7, 8192)])
+def test_simhash_links_at_any_radius(spark, monkeypatch, bits, hot):
+    monkeypatch.setattr(simhash, "HOT_RUN", hot)
+    rng = random.Random(bits)
+    prints, base = [], [rng.getrandbits(64) for _ in range(6)]
+    for _ in range(150):
+        p = rng.choice(base)
+        for _ in range(rng.randint(0, 2 * bits)):
+            p ^= 1 << rng.randrange(64)
+        prints.append(p)
+    prints = sorted(set(prints))
+    table = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    found = [(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in simhash.links(table, bits).collect()]
+    assert all(bin(a ^ b).count("1") <= bits for a, b in found)
+
+    def classes(pairs):
+        parent = {p: p for p in prints}
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in pairs:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+        return {p: root(p) for p in prints}
+
+    assert classes(found) == classes((a, b) for a in prints for b in prints if a < b and bin(a ^ b).count("1") <= bits)
+
+
+def test_keep_one_of_similar_texts(spark):
+    """Of texts that share 0.8 and more of their five-word shingles one stays, by several fingerprints."""
+    rng = random.Random(41)
+    rows_, groups_ = [], 0
+    for g in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows_.append((3 * g, " ".join(words)))
+        for k in (1, 2):
+            changed = list(words)
+            for _ in range(4):
+                changed[rng.randrange(300)] = "other"
+            rows_.append((3 * g + k, " ".join(changed)))
+    table = spark.createDataFrame(rows_, "doc_id long, text string")
+    one = {r["doc_id"] for r in simhash.keep_one(table).collect()}
+    more = {r["doc_id"] for r in simhash.keep_one(table, bits=5, prints=3).collect()}
+    classes = plain_classes({i: plain_prints(t) for i, t in rows_}, 5)
+    assert more == set(classes.values())
+    assert {3 * g for g in range(40)} <= more < one
+    # nine of ten near copies are found
+    assert len(more) - 40 <= 0.1 * 80
+
+
 def test_keep_one(docs):
     twice = docs.unionByName(docs)
     kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(twice).collect()]

@@ -6,7 +6,7 @@ import random
 import corpus_pipeline
 from quire.llm import langid, pii
 
-from .test_operators import EMAIL, plain_classes, plain_print
+from .test_operators import EMAIL, plain_classes, plain_prints
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def test_stages_and_run(spark):
     assert all(kept[i] == first[i] for i in kept)
 
     two = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(kept.values()), docs.schema), SF)
-    classes = plain_classes({i: plain_print(r["text"]) for i, r in kept.items()})
+    classes = plain_classes({i: plain_prints(r["text"]) for i, r in kept.items()}, 5)
     assert sorted(r["doc_id"] for r in two.collect()) == sorted({c for c in classes.values()})
     assert two.columns == corpus_pipeline.COLUMNS
 
