@@ -31,9 +31,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != langid.UND).select(*others, F.col("__text").alias("text"), F.col("lang_pred").alias("lang")).select(*COLUMNS)
 
 
+#: Radius and number of fingerprints of near-dedup: nine of ten pairs of texts that share 0.8 of
+#: their five-word shingles lie within it.
+RADIUS, PRINTS = 5, 3
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    return simhash.keep_one(docs, bits=RADIUS, prints=PRINTS).select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
