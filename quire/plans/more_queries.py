@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import collection as K
 from ..operators import pdf_pages as P
 from ..operators import sinks as O
 from ..operators import transforms as T
@@ -236,7 +237,7 @@ def pdf_counts(spark, sf_dir):
 @query("SELECT doc_id, md5(coalesce(text, '')) AS wide_md5, md5(coalesce(text, '')) AS marked_md5, md5(coalesce(text, '')) AS plain_md5 FROM documents WHERE text IS NULL OR text NOT LIKE chr(65279) || '%'")
 def pdf_strings(spark, sf_dir):
     """Documents as UTF-16 and as UTF-8 with and without a mark, decoded as PDF strings."""
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where(~F.startswith("t", F.lit("﻿")))
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where(~F.startswith("t", F.lit("\ufeff")))
     wide = F.concat(F.unhex(F.lit("FEFF")), F.encode("t", "UTF-16BE"))
     marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("t", "UTF-8"))
     return d.select("doc_id", *[F.md5(X.pdf_string(c)).alias(n) for n, c in (("wide_md5", wide), ("marked_md5", marked), ("plain_md5", F.encode("t", "UTF-8")))])
@@ -286,6 +287,45 @@ def ncx_round_trip(spark, sf_dir):
     return got.toc.select("book_id", "play_order", "title", "href", "depth")
 
 
+@query("""WITH m AS (SELECT page_id // 7 AS book_id, html AS t, CASE WHEN page_id % 3 = 0 THEN 'image/svg+xml' ELSE 'text/html' END AS media_type FROM pages)
+          SELECT book_id, count(*) AS n_items, CAST(sum(CASE WHEN media_type LIKE 'image/%' THEN 1 ELSE 0 END) AS BIGINT) AS n_images, CAST(sum(strlen(t)) AS BIGINT) AS item_bytes,
+                 CAST(sum(CASE WHEN media_type LIKE 'image/%' THEN strlen(t) ELSE 0 END) AS BIGINT) AS image_bytes FROM m GROUP BY book_id""")
+def manifest_totals(spark, sf_dir):
+    """Counts and bytes of the items of books of seven pages."""
+    p = _read(spark, sf_dir, "pages")
+    kind = F.when(F.col("page_id") % 3 == 0, "image/svg+xml").otherwise("text/html")
+    m = p.select(F.floor(F.col("page_id") / 7).cast("long").alias("book_id"), F.col("html").alias("text"), F.lit(None).cast("binary").alias("data"), kind.alias("media_type"))
+    return K.totals(m)
+
+
+@query("""WITH s AS (SELECT page_id // 10 AS book_id, page_id % 10 AS pos, 'p' || page_id AS idref, page_id % 4 > 0 AS linear FROM pages)
+          SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY pos) - 1 AS INTEGER) AS pos, idref FROM s WHERE linear""")
+def spine_linear(spark, sf_dir):
+    """The spines of books of ten pages without their non-linear items."""
+    i = F.col("page_id")
+    s = _read(spark, sf_dir, "pages").select(F.floor(i / 10).cast("long").alias("book_id"), (i % 10).cast("int").alias("pos"), F.concat(F.lit("p"), i.cast("string")).alias("idref"), (i % 4 > 0).alias("linear"))
+    gone = s.join(K.linear_items(s), s.columns, "left_anti")
+    return K.without_items(s, gone).select("book_id", "pos", "idref")
+
+
+@query("""SELECT page_id AS book_id, CAST(n AS INTEGER) AS pos, t AS ref_type, CASE WHEN t = 'cover' THEN 'New' ELSE 'Old' END AS title, CASE WHEN t = 'cover' THEN url ELSE 'old.xhtml' END AS href
+          FROM pages, (VALUES (0, 'toc'), (1, 'text'), (2, 'cover')) g(n, t)""")
+def guide_put(spark, sf_dir):
+    """A cover reference takes the place of the one that was there."""
+    p = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("book_id"), "url")
+    old = F.transform(F.array(*map(F.lit, ("toc", "cover", "text"))), lambda t: F.struct(t.alias("ref_type"), F.lit("Old").alias("title"), F.lit("old.xhtml").alias("href")))
+    guide = p.select("book_id", F.posexplode(old).alias("pos", "r")).select("book_id", "pos", "r.*")
+    return K.put_references(guide, p.select("book_id", F.lit("cover").alias("ref_type"), F.lit("New").alias("title"), F.col("url").alias("href")))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS utf8_md5, md5(coalesce(text, '')) AS marked_md5, md5(coalesce(text, '')) AS wide_md5 FROM documents WHERE text IS NULL OR text NOT LIKE chr(65279) || '%'")
+def decode_text(spark, sf_dir):
+    """Documents as UTF-8 with and without a mark and as UTF-16, decoded."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where(~F.startswith("t", F.lit("\ufeff")))
+    raw = F.encode("t", "UTF-8")
+    return d.select("doc_id", F.md5(K.decoded(raw)).alias("utf8_md5"), F.md5(K.decoded(F.concat(F.unhex(F.lit("EFBBBF")), raw))).alias("marked_md5"), F.md5(K.decoded(F.concat(F.unhex(F.lit("FFFE")), F.encode("t", "UTF-16LE")))).alias("wide_md5"))
+
+
 ORACLES["line_group"] = f"""
         WITH RECURSIVE x AS (SELECT page_id AS book_id, CAST(k % 4 AS INTEGER) AS number, CAST(k AS BIGINT) AS seq, floor({_GRID} % 97) * 1.0 AS top, {_GRID} % 13 * 1.0 AS lft FROM pages, generate_series(1, 24) s(k)),
         o AS (SELECT *, row_number() OVER (PARTITION BY book_id, number ORDER BY top, lft, seq) AS i FROM x),

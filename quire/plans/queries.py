@@ -160,11 +160,11 @@ def txt_output(spark, sf_dir):
 
 @query(f"""
         SELECT conv_id, md5('<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<meta charset="UTF-8">' || chr(10) || '<title>Conversation ' || conv_id || '</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)
-                 || string_agg('<p class="' || role || '">' || {_ESC.format('text')} || '</p>' || chr(10), '' ORDER BY turn, role, text) || '</body>' || chr(10) || '</html>' || chr(10)) AS html_md5
-        FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL GROUP BY conv_id""")
+                 || string_agg('<p class="' || coalesce(role, '') || '">' || {_ESC.format("coalesce(text, '')")} || '</p>' || chr(10), '' ORDER BY turn, coalesce(role, ''), coalesce(text, '')) || '</body>' || chr(10) || '</html>' || chr(10)) AS html_md5
+        FROM conversations GROUP BY conv_id""")
 def html_output(spark, sf_dir):
-    """Conversations as books whose spine is the order of turns."""
-    c = _read(spark, sf_dir, "conversations").where("text is not null and role is not null")
+    """Conversations as books whose spine is the order of turns; a null text or role is empty."""
+    c = _read(spark, sf_dir, "conversations").withColumns({k: F.coalesce(k, F.lit("")) for k in ("text", "role")})
     body = F.concat(F.lit('<p class="'), "role", F.lit('">'), X.escape_text(F.col("text")), F.lit("</p>"))
     books = c.withColumn("body", body).groupBy("conv_id").agg(O.ordered(["turn", "role", "text"], "body").alias("docs"))
     title = F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"))
@@ -366,15 +366,17 @@ def _content(books: DataFrame) -> DataFrame:
 
 
 _DOC = _HEAD + """ || {title} || '</title>' || chr(10) || '  <link rel="stylesheet" type="text/css" href="style.css"/>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || {body} || chr(10) || '</body>' || chr(10) || '</html>'"""
+#: Characters that XML 1.0 cannot hold, and the carriage return, which its readers change.
+_NO_XML = r"[^\x{9}\x{A}\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
 _CLEAN = "regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E\\n]', '', 'g')"
 
 
 @query(f"""
-        WITH d AS (SELECT doc_id, {_CLEAN} AS t FROM documents)
+        WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_NO_XML}', '', 'g') AS t FROM documents)
         SELECT doc_id AS book_id, md5({_DOC.format(title="'T' || doc_id", body="'<p>' || " + _ESC.format('t') + " || '</p>'")}) AS doc_md5, CAST(1 AS INTEGER) AS n_toc, CAST(NULL AS VARCHAR) AS error FROM d""")
 def fb2_read(spark, sf_dir):
-    """Documents (printable ASCII and line feeds) as FB2 books, and read."""
-    t = X.escape_text(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20-\\x7E\\n]", ""))
+    """Documents, without what XML cannot hold, as FB2 books, and read."""
+    t = X.escape_text(F.regexp_replace(F.coalesce("text", F.lit("")), _NO_XML, ""))
     d = _read(spark, sf_dir, "documents").withColumn("book_id", F.col("doc_id"))
     book = F.concat(F.lit("<FictionBook><description><title-info><book-title>T"), F.col("doc_id").cast("string"), F.lit("</book-title></title-info></description><body><section><p>"), t, F.lit("</p></section></body></FictionBook>"))
     return _content(B.read_books(_files(d, "x.fb2", book)))
