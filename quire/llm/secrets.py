@@ -28,12 +28,12 @@ are not touched.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import running
 from ._spark import materialize
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -65,18 +65,6 @@ class Model:
     false: float | None
 
 
-def _scan(values: Column, op: Callable[[Column, Column], Column], neutral: int) -> Column:
-    """The running ``op`` over an array of longs, in steps of doubled width."""
-    none = F.lit(neutral).cast("bigint")
-
-    def widen(acc: Column, k: Column) -> Column:
-        width = F.call_function("shiftleft", F.lit(1), k)
-        return F.zip_with(acc, F.concat(F.array_repeat(none, width), F.slice(acc, F.lit(1), F.size(acc) - width)), op)
-
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int") - 1)
-    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(steps, values, widen))
-
-
 def _pairs(df: DataFrame) -> DataFrame:
     """Counts of the character pairs of the strings ``w``: (random, a, b, n), at most 2 x 128 x 128 rows."""
     w = df.where(F.length("w") >= 2)
@@ -166,7 +154,7 @@ def scan(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str =
 
     values = F.when(F.size("f_assign") == 0, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)))
     sized = found.select("__i", *cols("f_"), values.alias("values"), *[sizes(k) for k in pattern])
-    ends = sized.select("__i", *cols("f_"), "values", *[_scan(F.col("n_" + k), lambda x, y: x + y, 0).alias("e_" + k) for k in pattern])
+    ends = sized.select("__i", *cols("f_"), "values", *[running(F.col("n_" + k), lambda x, y: x + y, 0).alias("e_" + k) for k in pattern])
 
     def spans(k: str) -> Column:
         return F.zip_with("e_" + k, "f_" + k, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end")))
@@ -180,8 +168,8 @@ def scan(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str =
     none = F.size("runs") == 0
     events = F.when(none, F.col("runs")).otherwise(F.array_sort(F.concat(base, "runs")))
     mixed = placed.select("__i", "assign", "access", "hex", events.alias("events"))
-    reach = _scan(F.col("reach"), lambda x, y: F.greatest(x, y), -1)
-    following = F.reverse(_scan(F.col("next"), lambda x, y: F.least(x, y), _FAR))
+    reach = running(F.col("reach"), lambda x, y: F.greatest(x, y), -1)
+    following = F.reverse(running(F.col("next"), lambda x, y: F.least(x, y), _FAR))
     mixed = mixed.select(
         "*",
         F.transform("events", lambda e: F.when(e["run"] == 0, e["end"]).otherwise(F.lit(-1).cast("bigint"))).alias("reach"),
