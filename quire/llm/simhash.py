@@ -212,8 +212,40 @@ def _left(value: Column, low: int, size: int) -> Column:
     return high.bitwiseOR(_part(value, 0, low)) if low else high
 
 
+def _thinned(found: DataFrame) -> DataFrame:
+    """Links (a, b) without those that others make up for: tasks that each left a spanning forest
+    meet, a sixteenth as many, and leave one between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(p, p)
+            return x
+
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(a), root(b)
+                if x != y:
+                    parent[y] = x
+                    kept.append((a, b))
+            if len(parent) > FOREST:
+                parent.clear()
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], names=["a", "b"])
+
+    tasks = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 16)
+    return found.select("a", "b").repartition(tasks, "a").mapInArrow(run, "a long, b long")
+
+
 def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """Distinct fingerprints (``fp``) to links (a, b) that connect what lies within reach."""
+    return _thinned(_links(nodes, bits))
+
+
+def _links(nodes: DataFrame, bits: int) -> DataFrame:
     fp = F.col("fp")
     parts = _parts(64, bits)
     first = nodes.select(F.explode(F.array(*[v for k, (low, size) in enumerate(parts) for v in _variants(_part(fp, low, size), size, k)])).alias("key"), "fp")
@@ -241,17 +273,18 @@ def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         rows = rows.join(still, "key", "left_semi")
 
 
-def groups(prints: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+def groups(prints: DataFrame, *, id_col: str = "doc_id", bits: int = MAX_BITS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``fp``, ``component_id`` for every distinct fingerprint of ``prints`` (id, fp): the
-    smallest id reachable over links."""
+    smallest id reachable over links. ``keep``: ``component`` adds the component itself, which
+    is never null (one of its fingerprints)."""
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
     # fingerprints of rows without id still connect others, so the nodes are the fingerprints
-    comp = connected_components(links(nodes).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    comp = connected_components(links(nodes, bits).select(F.col("a").alias("u"), F.col("b").alias("v")))
     joined = nodes.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left")
     joined = joined.select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     joined = materialize(joined, "members")
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return materialize(joined.join(least, "component").select("fp", "component_id"), "classes")
+    return materialize(joined.join(least, "component").select("fp", "component_id", *keep), "classes")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -274,7 +307,8 @@ def similar(prints: DataFrame, names: list[str], bits: int) -> DataFrame:
         lead = materialize(leads, "leads")
         of = lambda end: lead.select(F.col("fp").alias(end), F.col("lead").alias("lead_" + end))  # noqa: B023, E731
         edges.append(nodes.join(lead, nodes[name] == lead["fp"]).where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")))
-        edges.append(links(lead.select("fp"), bits).join(of("a"), "a").join(of("b"), "b").select(F.col("lead_a").alias("u"), F.col("lead_b").alias("v")))
+        near = materialize(links(lead.select("fp"), bits), "near")
+        edges.append(near.join(of("a"), "a").join(of("b"), "b").select(F.col("lead_a").alias("u"), F.col("lead_b").alias("v")))
     comp = connected_components(reduce(DataFrame.unionByName, edges))
     joined = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     joined = materialize(joined, "members")
@@ -290,9 +324,12 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     src = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     names = ["fp", *[f"fp{k}" for k in range(1, prints)]]
     found = materialize(fingerprint_column(src, text_col="text", words=words, prints=prints, keep=["id", "key"]), "prints")
-    classes = similar(found, names, bits)
+    if prints == 1:
+        judged = found.join(groups(found, id_col="id", bits=bits, keep=("component",)), "fp")
+    else:
+        judged = found.withColumn("node", F.xxhash64(*names)).join(similar(found, names, bits), "node")
     # one (id, text) for each component; its copies are folded before they are shuffled
-    best = found.withColumn("node", F.xxhash64(*names)).join(classes, "node").where(F.col("id").eqNullSafe(F.col("component_id")))
+    best = judged.where(F.col("id").eqNullSafe(F.col("component_id")))
     best = best.groupBy("component", "id").agg(F.min("key").alias("key")).select(F.col("id").alias("best_id"), F.col("key").alias("best_key"))
     kept = src.join(best, (F.col("key") == F.col("best_key")) & F.col("id").eqNullSafe(F.col("best_id")))
     # one id can be best in several components; what repeats id and text is one row

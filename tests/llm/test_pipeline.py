@@ -19,7 +19,7 @@ def test_stages_and_run(spark):
     assert all(kept[i] == first[i] for i in kept)
 
     two = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(kept.values()), docs.schema), SF)
-    classes = plain_classes({i: plain_prints(r["text"]) for i, r in kept.items()}, 5)
+    classes = plain_classes({i: plain_prints(r["text"], count=corpus_pipeline.PRINTS) for i, r in kept.items()}, corpus_pipeline.RADIUS)
     assert sorted(r["doc_id"] for r in two.collect()) == sorted({c for c in classes.values()})
     assert two.columns == corpus_pipeline.COLUMNS
 
