@@ -23,12 +23,23 @@ class Memo(dict):
         return self[key]
 
     def put(self, key, value) -> None:
+        self._age()
+        self.held += 5 * len(key) + 150
+        self[key] = value
+
+    def fill(self, keys, make_all: Callable) -> None:
+        """Hold all of ``keys``, a chunk's, until the next call: none of them ages before. Missing
+        values come from one call of ``make_all`` with a list. What is held can exceed the bounds
+        by a chunk."""
+        self._age()
+        absent = [k for k in keys if k not in self]
+        new = [k for k in absent if k not in self.old]
+        self.update((k, self.old[k]) for k in absent if k in self.old)
+        self.update(zip(new, make_all(new)))
+        self.held += 5 * sum(map(len, absent)) + 150 * len(absent)
+
+    def _age(self) -> None:
         if len(self) >= self.most or self.held > self.BYTES:
             self.old = dict(self)
             self.clear()
             self.held = 0
-        self.held += 5 * len(key) + 150
-        self[key] = value
-
-    def knows(self, key) -> bool:
-        return key in self or key in self.old

@@ -31,7 +31,7 @@ from ._spark import map_texts
 SHORT = 128
 #: Cells of a matrix, or one longer row.
 CELLS = 1 << 20
-#: Words whose ids a worker remembers (twice as many at most).
+#: Words whose ids a worker remembers (twice as many at most, and those of two chunks).
 CACHE_WORDS = 200_000
 
 _INF = np.int32(2**31 - 1)
@@ -207,9 +207,7 @@ class ByteBPE:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         found = [self.find(t) if t else [] for t in texts]
         memo = self.cache
-        new = [w for w in set().union(*found) if not memo.knows(w)]
-        for w, ids in zip(new, self.encode_words([w.encode() for w in new])):
-            memo.put(w, ids)
+        memo.fill(set().union(*found), lambda new: self.encode_words([w.encode() for w in new]))
         return [b"".join(map(memo.__getitem__, words)) for words in found]
 
     def decode(self, ids: bytes) -> bytes:

@@ -488,6 +488,20 @@ def test_bpe_wide_rows_equal_narrow_ones(shuffled):
     assert all(a.tolist() == b.tolist() for a, b in zip(narrow, wide))
 
 
+def test_bpe_memory_does_not_age_within_a_chunk():
+    """Each chunk computes its missing words in one call, whatever the memory has forgotten."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own, whole = bpe.ByteBPE(path, public_tokenizers.PATTERN), bpe.ByteBPE(path, public_tokenizers.PATTERN)
+    own.cache.most = 100
+    calls, encode_words = [], own.encode_words
+    own.encode_words = lambda words: calls.append(len(words)) or encode_words(words)
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(3, 12))) for _ in range(400)]
+    parts = [[" ".join(rng.choices(words, k=60)) for _ in range(5)] for _ in range(12)]
+    assert [own.encode(p) for p in parts] == [whole.encode(p) for p in parts]
+    assert len(calls) == len(parts) and len(own.cache) + len(own.cache.old) < 2 * (100 + 300)
+
+
 def test_memo_is_bounded_by_bytes(monkeypatch):
     from quire.llm._cache import Memo
 
